@@ -7,7 +7,16 @@ from pyspark.sql import functions as F
 
 from graphloom.tables import table
 
-from . import documented, packing, sentences, splitting, syntax, tokens
+from . import documented, origin, packing, sentences, splitting, syntax, tokens
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return origin.not_by_hand(table(spark, d, "hier_files"))
+
+
+def p1_reasons(spark: SparkSession, d: str) -> DataFrame:
+    """Files not written by hand per reason; a file may have several."""
+    return origin.origins(table(spark, d, "hier_files")).groupBy("reason").agg(F.count("*").alias("n_files"))
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
@@ -65,7 +74,7 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
 def queries():
     return {
         f.__name__: f
-        for f in (p3_found, p3_rates, p4_found, p4_pieces, p7_found, p7_pairs, p8_ids, p9_containers, p10_found)
+        for f in (p1_found, p1_reasons, p3_found, p3_rates, p4_found, p4_pieces, p7_found, p7_pairs, p8_ids, p9_containers, p10_found)
     }
 
 
