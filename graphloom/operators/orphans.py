@@ -29,7 +29,7 @@ from pyspark.sql.window import Window
 from ..session import cut
 
 #: Fixed value: characters that count as white space around an id.
-BLANKS = " \t\n\r\f\v                 　\u0085﻿"
+BLANKS = " \t\n\r\f\v\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\u0085\ufeff"
 EXTERNAL = "external:"
 
 
