@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from graphloom.tables import table
 
-from . import documented, origin, packing, sentences, splitting, syntax, tokens
+from . import documented, neighbours, origin, packing, sentences, splitting, syntax, tokens
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -47,6 +47,10 @@ def p4_pieces(spark: SparkSession, d: str) -> DataFrame:
     return splitting.pieces(_oversized(spark, d)).distinct()
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return neighbours.similar_pairs(table(spark, d, "semantic_embeddings"))
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return documented.documented_functions(table(spark, d, "hier_files"), with_text=False)
 
@@ -74,7 +78,7 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
 def queries():
     return {
         f.__name__: f
-        for f in (p1_found, p1_reasons, p3_found, p3_rates, p4_found, p4_pieces, p7_found, p7_pairs, p8_ids, p9_containers, p10_found)
+        for f in (p1_found, p1_reasons, p3_found, p3_rates, p4_found, p4_pieces, p5_found, p7_found, p7_pairs, p8_ids, p9_containers, p10_found)
     }
 
 
