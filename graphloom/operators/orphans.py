@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from ..functions.exprs import whole_json
 from ..session import cut
 
 #: Fixed value: characters that count as white space around an id.
@@ -74,7 +75,7 @@ def edge_links(edges: DataFrame) -> DataFrame:
 
 def node_links(nodes: DataFrame) -> DataFrame:
     """The ids that nodes.metadata names as dependencies."""
-    deps = F.from_json("metadata", T.StructType([T.StructField("dependencies", T.ArrayType(T.StringType()))]))
+    deps = F.from_json(whole_json(F.col("metadata")), T.StructType([T.StructField("dependencies", T.ArrayType(T.StringType()))]))
     flat = nodes.select("ord", "id", "recorded_at", F.explode(deps["dependencies"]).alias("d"))
     return referring(
         flat.select(*_link("nodes", "ord", F.lit("dependency"), F.col("d"), "recorded_at", bare(F.col("id"))))
