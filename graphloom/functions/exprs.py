@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -30,10 +30,14 @@ def sanitised(id_: Column) -> Column:
     return F.regexp_replace(posix(id_), "[^A-Za-z0-9/_-]", "_")
 
 
+#: Fixed value: the words of a camelCase name.
+CAMEL = r"[A-Z]?[a-z]+|[A-Z]+(?=[A-Z][a-z]|\d|\W|$)|\d+"
+
+
 def identifier_words(name: Column) -> Column:
     """snake_case parts as they are, else camelCase parts in lower case."""
-    camel = F.regexp_extract_all(name, F.lit("[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+"), F.lit(0))
-    return F.when(F.contains(name, F.lit("_")), F.filter(F.split(name, "_"), lambda x: x != "")).otherwise(F.transform(camel, F.lower))
+    camel = F.regexp_extract_all(name, F.lit(CAMEL), F.lit(0))
+    return F.when(F.contains(name, F.lit("_")), F.split(name, "_")).otherwise(F.transform(camel, F.lower))
 
 
 def c4_level(type_: Column, file: Column, name: Column, is_entry: Column) -> Column:
@@ -75,13 +79,17 @@ def cosine(a: Column, b: Column) -> Column:
 EMBEDDING_WORDS = ("function", "class", "import", "return", "async", "await", "(", "{", ";")
 
 
-def fallback_embedding(text: Column) -> Column:
-    """Length and word counts of a text, scaled to length one."""
-    low = F.lower(text)
+def with_fallback_embedding(df: DataFrame, text: str, out: str) -> DataFrame:
+    """df with length and word counts of a text, scaled to length one.
+
+    In steps, so that the text is lowered once and the norm is taken once per row.
+    """
+    low = F.col("_low")
     count = lambda w: ((F.char_length(low) - F.char_length(F.replace(low, F.lit(w), F.lit("")))) / len(w)).cast("double")
     raw = F.array(F.char_length(low).cast("double"), *(count(w) for w in EMBEDDING_WORDS))
-    norm = F.sqrt(F.aggregate(raw, F.lit(0.0), lambda s, x: s + x * x))
-    return F.when(norm > 0, F.transform(raw, lambda x: x / norm)).otherwise(raw)
+    norm = F.sqrt(F.aggregate("_raw", F.lit(0.0), lambda s, x: s + x * x))
+    scaled = F.zip_with("_raw", F.array_repeat(F.when(norm > 0, norm).otherwise(1.0), F.size("_raw")), lambda x, n: x / n)
+    return df.withColumn("_low", F.lower(text)).withColumn("_raw", raw).withColumn(out, scaled).drop("_low", "_raw")
 
 
 def naming(name: Column) -> dict[str, Column]:
@@ -101,8 +109,8 @@ def naming(name: Column) -> dict[str, Column]:
 
 #: Data flow that an edge type stands for; its share of an edge's confidence.
 FLOW_OF_EDGE = {
-    "calls": "function_call", "async_calls": "function_call", "renders": "component_render", "imports": "module_import",
-    "uses": "data_usage", "depends_on": "dependency", "instantiates": "instantiation",
+    "renders": "component_render", "calls": "function_call", "imports": "module_import", "uses": "dependency_use",
+    "depends_on": "dependency", "extends": "class_extension", "implements": "interface_implementation",
 }
 CONFIDENCE_OF_EDGE = {"renders": 0.9, "calls": 0.85, "imports": 0.95, "depends_on": 0.8, "uses": 0.75}
 
