@@ -14,7 +14,8 @@ WEIGHTS = {
 
 def weighted(factors: dict[str, Column], weights: dict[str, float] = WEIGHTS) -> Column:
     """Mean of the factors given (not null), clamped to [0, 1] and weighted; 0 if there is none."""
-    clamp = {k: F.greatest(F.lit(0.0), F.least(F.lit(1.0), c)) for k, c in factors.items()}
+    # greatest and least pass nulls over, so a missing factor has to stay missing
+    clamp = {k: F.when(c.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), c))) for k, c in factors.items()}
     total = sum((F.when(factors[k].isNotNull(), F.lit(weights[k])).otherwise(0.0) for k in factors), F.lit(0.0))
     score = sum((F.coalesce(clamp[k] * weights[k], F.lit(0.0)) for k in factors), F.lit(0.0))
     return F.when(total > 0, score / total).otherwise(0.0)
