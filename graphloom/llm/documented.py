@@ -123,6 +123,16 @@ class _Reader:
     def word(self, i: int) -> str:
         return _NAME.match(self.text, self.starts[i]).group()
 
+    def end(self, i: int) -> int:
+        """Behind the text of a token."""
+        start = self.starts[i]
+        if self.kinds[i] in _CLOSES:
+            return start + 1
+        if m := _NAME.match(self.text, start):
+            return m.end()
+        stop = self.starts[i + 1] if i + 1 < len(self.starts) else len(self.text)
+        return start + len(self.text[start:stop].rstrip())
+
     def past(self, i: int) -> int:
         """Behind the group that opens at i."""
         depth = 0
@@ -283,7 +293,7 @@ class _Reader:
             while kinds[i] not in ("=", ";", ",", END) and kinds[i] not in _CLOSES:
                 if self.starts[i] in self.breaks:
                     return None
-                i = self.past(i) if kinds[i] in PAIRS else i + 1
+                i = self.past_types(i) if kinds[i] == "<" else self.past(i) if kinds[i] in PAIRS else i + 1
         if kinds[i] != "=":
             return None
         i += 1
@@ -336,8 +346,7 @@ def _commented(text: str, tokens: Tokens, java: bool) -> list[tuple[int, str, st
         words = description(comment_text(text[start:end]), True)
         called = r.word(name)
         if not trivial(words, called):
-            last = r.starts[behind - 1] + 1 if behind <= len(r.starts) else len(text)
-            out.append((text.count("\n", 0, r.starts[name]) + 1, called, words, text[r.starts[i] : last]))
+            out.append((text.count("\n", 0, r.starts[name]) + 1, called, words, text[r.starts[i] : r.end(min(behind, len(r.starts)) - 1)]))
     return out
 
 

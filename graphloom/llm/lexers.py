@@ -80,8 +80,8 @@ _OPERANDS = frozenset(
     + [k for w, k in JS_CONTEXTUAL.items() if w not in ("await", "yield", "of")]
 )
 #: A line break between one of the first and one of the second may end a statement.
-_BEFORE = _OPERANDS | {JS_WORDS[w] for w in "break continue return yield debugger await of".split()}
-_GO_ON = frozenset(JS_RESERVED[w] for w in "else catch finally instanceof in extends".split()) | {JS_CONTEXTUAL["of"]}
+_BEFORE = _OPERANDS | {">"} | {JS_WORDS[w] for w in "break continue return yield debugger await of void".split()}
+_GO_ON = frozenset(JS_RESERVED[w] for w in "instanceof in extends".split()) | {JS_CONTEXTUAL["of"]}
 _AFTER = (
     frozenset([IDENT, NUMBER, STRING, REGEX, PRIVATE, "{", "!", "~", "@", INCREMENT, JSX_OPEN]) | frozenset(JS_WORDS.values())
 ) - _GO_ON

@@ -268,6 +268,8 @@ def first_graph(vectors: DataFrame, n: int) -> DataFrame:
     import numpy as np
 
     sample = vectors.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("q").toPandas()["q"]
+    if not len(sample):
+        return vectors.select(F.col("id").alias("a"), F.array().cast(NEIGHBOURS).alias("nbrs")).limit(0)
     matrix = np.frombuffer(b"".join(bytes(x) for x in sample), dtype=np.int8).reshape(len(sample), -1)
     trees = fit_trees(matrix, min(-(-n // BLOCK), max(1, len(matrix) // 16)))
     placed = vectors.mapInArrow(_leaves(trees), "id bigint, q binary, leaf bigint")

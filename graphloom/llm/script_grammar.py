@@ -138,6 +138,10 @@ class _Level:
     def role_module(self):
         self.statements(True)
 
+    def role_ambient(self):
+        while self.s[self.p] != END:
+            self.statement(True, True)
+
     def role_block(self):
         self.statements(False)
 
@@ -417,6 +421,7 @@ class _Level:
                     return False
                 self.p += n
                 self.take("=")
+                self.lines()
             elif self.ts and k in AS:
                 self.p += 1
                 if not (self.take(W["const"])):
@@ -433,6 +438,7 @@ class _Level:
             if k == W["await"] and self.next() in (".", ARROW, "=", ASSIGN, ",", ")", END, ";", OPTIONAL):
                 return self.chain()
             self.p += 1
+            self.lines()
             self.unary()
             return False
         if k == "<" and self.ts and not self.g.jsx:
@@ -788,12 +794,12 @@ class _Level:
                 self.p += 1
                 self.function()
                 return None
-            if self.ts and self.typed(k, f, module):
+            if self.ts and self.typed(k, f, module, ambient):
                 return None
         self.expression()
         return self.semicolon()
 
-    def typed(self, k: str, f: str, module: bool) -> bool:
+    def typed(self, k: str, f: str, module: bool, ambient: bool = False) -> bool:
         """Statements that only TypeScript has."""
         if k == W["type"] and f in NAMES:
             self.p += 2
@@ -820,12 +826,12 @@ class _Level:
             while self.take("."):
                 self.one_of(NAMES)
             if self.now() == "{":
-                self.group("{", "module")
+                self.group("{", "ambient" if ambient else "module")
             else:
                 self.semicolon()
         elif k == W["global"] and f == "{":
             self.p += 1
-            self.group("{", "module")
+            self.group("{", "ambient")
         elif k == W["declare"] and (f in WORDS) and f != NEWLINE:
             self.p += 1
             self.statement(module, True)
@@ -1027,7 +1033,7 @@ class _Level:
             k == W["let"] or (k == W["async"] and f == W["function"])
         ):
             return self.statement(module, ambient)
-        if self.ts and self.typed(k, f, module):
+        if self.ts and self.typed(k, f, module, ambient):
             return None
         return self.fail()
 
