@@ -30,16 +30,16 @@ from pyspark.sql.window import Window
 
 from graphloom.session import spill_table
 
-K = 24
-TREES = 4
+K = 32
+TREES = 8
 SAMPLE = 20_000
-BLOCK = 256
+BLOCK = 1024
 PART = 96
 #: Best candidates that each member of a centre keeps of it.
-OFFERS = 10
+OFFERS = 12
 MAX_ROUNDS = 6
 #: The descent ends when fewer edges than this share of the vectors are new.
-FEW = 0.1
+FEW = 0.03
 
 NEIGHBOURS = "array<struct<s:double,b:bigint,f:boolean>>"
 
