@@ -98,3 +98,36 @@ def entry_points(files: DataFrame) -> DataFrame:
     for r in rows[1:]:
         out = out.unionByName(r)
     return out
+
+
+def applicable(files: DataFrame) -> DataFrame:
+    """(project_type): every type whose signs a project's files show; files: (path, content) of one project.
+
+    All signs are flags of one aggregate over the files, so the table is read once.
+    """
+    base = F.regexp_extract("path", "([^/]*)$", 1)
+    c = F.col("content")
+    deps = F.from_json("content", "dependencies map<string,string>, devDependencies map<string,string>")
+    named = F.when(base == "package.json", F.array_union(F.coalesce(F.map_keys(deps["dependencies"]), F.array().cast("array<string>")), F.coalesce(F.map_keys(deps["devDependencies"]), F.array().cast("array<string>"))))
+    folders = F.slice(F.split("path", "/"), 1, F.greatest(F.size(F.split("path", "/")) - 1, F.lit(0)))
+    any_of = lambda cond: F.coalesce(F.bool_or(cond), F.lit(False))
+    dep = lambda *names: any_of(F.arrays_overlap(named, F.array(*(F.lit(n) for n in names))))
+    flags = files.agg(
+        (any_of(base.rlike(r"^vite\.config\.(js|ts|mjs)$")) | dep("vite") | (dep("react") & any_of(base == "index.html"))).alias("react_vite"),
+        any_of(base == "pom.xml").alias("maven_java"),
+        (any_of(base.isin("manage.py", "settings.py", "urls.py", "wsgi.py", "asgi.py")) | any_of((base == "requirements.txt") & F.contains(F.lower(c), F.lit("django")))).alias("django"),
+        (any_of(base == "angular.json") | dep("@angular/core", "angular")).alias("angular"),
+        (dep("express") | any_of(base.isin("app.js", "server.js", "index.js"))).alias("express_node"),
+        (any_of(base.isin("pom.xml", "build.gradle") & F.contains(c, F.lit("spring-boot"))) | any_of(F.endswith(base, F.lit(".java")) & F.contains(c, F.lit("@SpringBootApplication")))).alias("spring_boot"),
+        (any_of(base.isin("AndroidManifest.xml", "build.gradle", "gradle.properties")) | (any_of(F.array_contains(folders, "app")) & any_of(F.array_contains(folders, "src")) & any_of(F.array_contains(folders, "res")))).alias("android"),
+    )
+    each = F.filter(F.array(*(F.when(F.col(k), F.lit(k)) for k in flags.columns)), lambda x: x.isNotNull())
+    return flags.select(F.explode(each).alias("project_type"))
+
+
+def chosen(types: DataFrame) -> DataFrame:
+    """The one type that comes first in the order of priority, with its language and framework."""
+    rank = F.array_position(F.array(*(F.lit(p) for p in PRIORITY)), F.col("project_type"))
+    best = types.agg(F.min_by("project_type", rank).alias("project_type"))
+    both = F.create_map(*[x for k, (a, b) in LANGUAGE_OF.items() for x in (F.lit(k), F.struct(F.lit(a).alias("language"), F.lit(b).alias("framework")))])
+    return best.select("project_type", F.coalesce(both[F.col("project_type")]["language"], F.lit("unknown")).alias("language"), F.coalesce(both[F.col("project_type")]["framework"], F.lit("unknown")).alias("framework"))

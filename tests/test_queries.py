@@ -4,10 +4,11 @@ import os
 
 import duckdb
 import pytest
-from graphloom import queries_code, queries_general, queries_graph
+from graphloom import queries_code, queries_export, queries_general, queries_graph, queries_symbols
 
-ALL = {**queries_general.queries(), **queries_graph.queries(), **queries_code.queries()}
-SQL = {**queries_general.oracle_sql(), **queries_graph.oracle_sql(), **queries_code.oracle_sql()}
+MODULES = (queries_general, queries_graph, queries_code, queries_symbols, queries_export)
+ALL = {k: v for m in MODULES for k, v in m.queries().items()}
+SQL = {k: v for m in MODULES for k, v in m.oracle_sql().items()}
 
 
 @pytest.fixture(scope="module")
