@@ -41,6 +41,12 @@ MAX_ROUNDS = 6
 #: The descent ends when fewer edges than this share of the vectors are new.
 FEW = 0.03
 
+#: Search: width of a beam, nodes expanded per round, nodes that walks start from, most rounds.
+BEAM = 48
+EXPANDED = 6
+ENTRIES = 8192
+MAX_STEPS = 40
+
 NEIGHBOURS = "array<struct<s:double,b:bigint,f:boolean>>"
 
 
@@ -356,6 +362,99 @@ def neighbour_graph(vectors: DataFrame) -> DataFrame:
     return graph
 
 
+# search
+
+
+def _against(entries: list[tuple[int, bytes]]):
+    """Cosines of each query with a few fixed entries."""
+
+    def run(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        ids = np.array([i for i, _ in entries], np.int64)
+        y = np.frombuffer(b"".join(q for _, q in entries), np.int8).reshape(len(entries), -1).astype(np.float32)
+        y /= np.linalg.norm(y, axis=1)[:, None]
+        for batch in batches:
+            if batch.num_rows:
+                x = _matrix(batch.column(1), np.int8).astype(np.float32)
+                x /= np.linalg.norm(x, axis=1)[:, None]
+                for lo in range(0, len(x), 512):
+                    s = x[lo : lo + 512] @ y.T
+                    k = min(BEAM, len(ids))
+                    best = np.argpartition(-s, k - 1, axis=1)[:, :k]
+                    row = pa.array(np.repeat(np.arange(lo, lo + len(s)), k))
+                    yield pa.RecordBatch.from_arrays(
+                        [batch.column(0).take(row), pa.array(ids[best].ravel()), pa.array(np.take_along_axis(s, best, 1).ravel().astype(np.float64))], ["query", "b", "s"]
+                    )
+
+    return run
+
+
+def _cosines(batches: Iterator) -> Iterator:
+    """query, b and the cosine of their integer vectors."""
+    import numpy as np
+    import pyarrow as pa
+
+    for batch in batches:
+        if batch.num_rows:
+            x, y = (_matrix(batch.column(i), np.int8).astype(np.float64) for i in (2, 3))
+            s = (x * y).sum(axis=1) / np.sqrt((x * x).sum(axis=1) * (y * y).sum(axis=1))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(s)], ["query", "b", "s"])
+
+
+def _beam(offers: DataFrame) -> DataFrame:
+    """(query, beam): the best distinct nodes of each query; a node once visited stays so."""
+    best = F.array_sort(F.collect_list(F.struct((-F.col("s")).alias("s"), "b", (~F.col("seen")).alias("fresh"))))
+    g = offers.groupBy("query", "b").agg(F.max("s").alias("s"), F.max("seen").alias("seen")).groupBy("query").agg(best.alias("l"))
+    return g.select("query", F.slice("l", 1, BEAM).alias("beam"))
+
+
+def search(graph: DataFrame, vectors: DataFrame, queries: DataFrame) -> DataFrame:
+    """(query, b, s): the nodes that a greedy search of the graph ends with, for vectors that need not be in it.
+
+    All queries walk at once: each round expands the best nodes of every query's beam that have not
+    been expanded, by a join with the graph.  A beam that holds no such node has ended; the number
+    of rounds is that of the longest walk.  queries and vectors: (id, q).
+    """
+    asked = queries.select(F.col("id").alias("query"), F.col("q").alias("qq"))
+    entries = [(r.id, bytes(r.q)) for r in vectors.orderBy(F.xxhash64("id"), "id").limit(ENTRIES).collect()]
+    if not entries:
+        return asked.select("query", F.col("query").alias("b"), F.lit(0.0).alias("s")).limit(0)
+    first = asked.mapInArrow(_against(entries), "query bigint, b bigint, s double").withColumn("seen", F.lit(False))
+    beams = spill_table(_beam(first), "beams")
+    for _ in range(MAX_STEPS):
+        flat = beams.select("query", F.inline("beam"))
+        rank = Window.partitionBy("query").orderBy("s", "b")
+        front = flat.where("fresh").withColumn("i", F.row_number().over(rank)).where(F.col("i") <= EXPANDED).select("query", "b")
+        front = spill_table(front, "front")
+        if front.isEmpty():
+            break
+        near = front.join(graph.select(F.col("a").alias("b"), "nbrs"), "b").select("query", F.explode("nbrs.b").alias("b")).distinct()
+        near = near.join(flat.select("query", "b"), ["query", "b"], "left_anti")
+        both = near.join(vectors.select(F.col("id").alias("b"), "q"), "b").join(asked, "query").select("query", "b", "qq", "q")
+        offers = both.mapInArrow(_cosines, "query bigint, b bigint, s double").withColumn("seen", F.lit(False))
+        held = flat.join(front.withColumn("now", F.lit(True)), ["query", "b"], "left").select("query", "b", (-F.col("s")).alias("s"), (~F.col("fresh") | F.coalesce("now", F.lit(False))).alias("seen"))
+        beams = spill_table(_beam(held.unionByName(offers)), "beams")
+    return beams.select("query", F.inline("beam")).select("query", "b", (-F.col("s")).alias("s"))
+
+
+def searched(embeddings: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
+    """(query_id, other_id, rank): the k nearest others of each query, found by walking the graph.
+
+    embeddings and queries: (embedding_id, embedding, computed_at).
+    """
+    raw = spill_table(usable(embeddings), "vectors")
+    asked = spill_table(usable(queries), "queries")
+    vectors = spill_table(raw.mapInArrow(_quantise, "id bigint, q binary"), "quantised")
+    hits = search(neighbour_graph(vectors), vectors, asked.mapInArrow(_quantise, "id bigint, q binary")).where("query <> b")
+    far = hits.select(F.col("query").alias("a"), "b").join(raw.select(F.col("id").alias("b"), "raw"), "b")
+    both = far.join(asked.select(F.col("id").alias("a"), F.col("raw").alias("own")), "a").select("a", "b", "raw", "own")
+    best = both.repartition("a").sortWithinPartitions("a").mapInArrow(_ranks(k), "a bigint, b bigint, r double")
+    rank = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("r"), "b"))
+    return best.select(F.col("a").alias("query_id"), F.col("b").alias("other_id"), rank.alias("rank"))
+
+
 # exact ranks
 
 

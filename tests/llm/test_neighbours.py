@@ -44,3 +44,20 @@ def test_few_or_none(spark):
     assert neighbours.similar_pairs(frame(spark, one)).count() == 0
     three = one + [(2, [0.0, 1.0] + [0.0] * 62), (3, [2.0] + [0.0] * 63)]
     assert {tuple(r) for r in neighbours.similar_pairs(frame(spark, three)).collect()} == {(1, 2), (1, 3), (2, 3)}
+
+
+def test_graph_search(spark):
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(30, 64))
+    rows = {i: np.float32(centres[i % 30] + rng.normal(size=64) * rng.choice([0.3, 0.8])) for i in range(1500)}
+    e = frame(spark, [(i, [float(x) for x in v]) for i, v in rows.items()])
+    got = {(r.query_id, r.other_id) for r in neighbours.searched(e, e.where("embedding_id % 20 = 0")).collect()}
+    x = np.array([rows[i] for i in range(1500)], dtype=np.float64)
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    want = set()
+    for q in range(0, 1500, 20):
+        s = np.round(u @ u[q], 10)
+        s[q] = -3
+        want |= {(q, j) for j in sorted(range(1500), key=lambda j: (-s[j], j))[:10]}
+    assert len(got & want) / len(want) >= 0.9
+    assert neighbours.searched(e.limit(0), e.limit(0)).count() == 0
