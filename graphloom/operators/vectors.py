@@ -51,7 +51,7 @@ def _unit_rows(x):
     return x / np.sqrt((x * x).sum(axis=1))[:, None]
 
 
-def _block_search(k: int):
+def _block_search(k: int, grouped: bool):
     def run(table):
         import numpy as np
         import pyarrow as pa
@@ -64,6 +64,9 @@ def _block_search(k: int):
             part = q[lo : lo + 512]
             s = np.round(x[part] @ x[c].T, 10)
             s[ids[part][:, None] == ids[c][None, :]] = -3
+            if grouped:
+                g = table.column("g").to_numpy()
+                s[g[part][:, None] == g[c][None, :]] = -3
             order = np.lexsort((np.broadcast_to(ids[c], s.shape), -s), axis=1)[:, :k]
             best = np.take_along_axis(s, order, 1)
             keep = best > -3
@@ -74,14 +77,18 @@ def _block_search(k: int):
     return run
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
-    """(query_id, other_id, similarity, rank): the k nearest others of each query, ties to the smaller id."""
+def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, other_group: str | None = None) -> DataFrame:
+    """(query_id, other_id, similarity, rank): the k nearest others of each query, ties to the smaller id.
+
+    With ``other_group``, a bigint column of both, only rows of other groups count.
+    """
     n, nq = vectors.count(), queries.count()
     rows, cols = max(1, -(-nq // BLOCK)), max(1, -(-n // (4 * BLOCK)))
     h = F.xxhash64("id")
-    q = queries.select("id", "v", F.lit(True).alias("asked"), F.pmod(h, F.lit(rows)).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.lit(cols - 1))).alias("j"))
-    c = vectors.select("id", "v", F.lit(False).alias("asked"), F.explode(F.sequence(F.lit(0), F.lit(rows - 1))).alias("i"), F.pmod(h, F.lit(cols)).cast("int").alias("j"))
-    best = q.unionByName(c).groupBy("i", "j").applyInArrow(_block_search(k), "query_id bigint, other_id bigint, similarity double")
+    group = [F.col(other_group).alias("g")] if other_group else []
+    q = queries.select("id", "v", *group, F.lit(True).alias("asked"), F.pmod(h, F.lit(rows)).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.lit(cols - 1))).alias("j"))
+    c = vectors.select("id", "v", *group, F.lit(False).alias("asked"), F.explode(F.sequence(F.lit(0), F.lit(rows - 1))).alias("i"), F.pmod(h, F.lit(cols)).cast("int").alias("j"))
+    best = q.unionByName(c).groupBy("i", "j").applyInArrow(_block_search(k, bool(group)), "query_id bigint, other_id bigint, similarity double")
     rank = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "other_id")
     return best.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= k)
 
@@ -168,6 +175,15 @@ def clusters(vectors: DataFrame, least: float) -> DataFrame:
     return each.select("id", F.when(~alone, F.col("label")).alias("label"), F.coalesce("n_links", F.lit(0).cast("bigint")).alias("n_links"))
 
 
+def centroids(vectors: DataFrame, clustered: DataFrame) -> DataFrame:
+    """(label, n, centroid, confidence) of each cluster: its mean unit vector, and the mean cosine of members to it."""
+    flat = clustered.where("label IS NOT NULL").select("id", "label").join(vectors, "id").select("label", F.posexplode(unit(F.col("v"))).alias("i", "x"))
+    mean = flat.groupBy("label", "i").agg(F.avg("x").alias("m"), F.count("*").alias("n"))
+    whole = mean.groupBy("label").agg(F.max("n").alias("n"), F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda p: p["m"]).alias("centroid"))
+    # the mean cosine of unit vectors to the direction of their mean is the length of the mean
+    return whole.withColumn("confidence", F.sqrt(F.aggregate("centroid", F.lit(0.0), lambda s, x: s + x * x)))
+
+
 def cohesion(vectors: DataFrame) -> DataFrame:
     """(file, n, mean_similarity): the mean cosine of all pairs in a file, itself included.
 

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 #: Folders that a scan leaves out, and project types in order of priority.
 PRUNED = (".git", "node_modules", "_pycache_", "__pycache__", ".venv", "venv", "target", "build", "dist")
+ANGULAR = "projects map<string,struct<architect:struct<build:struct<options:struct<main:string>>>>>"
+MAIN_ACTIVITY = r"<activity[^>]*android:name=\"([^\"]+)\"[^>]*>(?:(?!</activity>)[\s\S])*android\.intent\.action\.MAIN"
 PRIORITY = ("spring_boot", "react_vite", "angular", "django", "express_node", "maven_java", "gradle_java", "android", "python_app")
 LANGUAGE_OF = {
     "react_vite": ("typescript", "react"), "angular": ("typescript", "angular"), "express_node": ("javascript", "express"),
@@ -92,6 +94,10 @@ def entry_points(files: DataFrame) -> DataFrame:
         files.where(p.rlike(r"\.java$") & F.contains(c, F.lit("@SpringBootApplication")) & F.contains(c, F.lit("public static void main"))).select("path", F.lit("spring_boot").alias("type"), p.alias("value")),
         files.where(p.rlike(r"(^|/)(urls|settings)\.py$")).select("path", F.lit("django").alias("type"), p.alias("value")),
         files.where(p.rlike(r"(^|/)(index|server|app)\.js$") & c.rlike(r"app\.listen|express\(\)")).select("path", F.lit("express").alias("type"), p.alias("value")),
+        files.where(p.rlike(r"(^|/)angular\.json$")).select(
+            "path", F.lit("angular_main").alias("type"), F.explode(F.transform(F.map_values(F.from_json(c, ANGULAR)["projects"]), lambda x: x["architect"]["build"]["options"]["main"])).alias("value")
+        ).where("value IS NOT NULL"),
+        files.where(p.rlike(r"(^|/)AndroidManifest\.xml$")).select("path", F.lit("android_activity").alias("type"), F.explode(F.regexp_extract_all(c, F.lit(MAIN_ACTIVITY), F.lit(1))).alias("value")),
         files.where(p.rlike(r"^main\.(py|js|ts|java)$")).select("path", F.lit("generic").alias("type"), p.alias("value")),
     ]
     out = rows[0]

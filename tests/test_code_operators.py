@@ -2,7 +2,7 @@ import datetime as dt
 import json
 
 import pytest
-from graphloom.operators import inference, lineage, modules, symbols
+from graphloom.operators import features, inference, lineage, modules, scoring, symbols, vectors, views
 from graphloom.sources import exports, projects
 from pyspark.sql import functions as F
 
@@ -102,3 +102,54 @@ def test_project_choice(spark):
     assert {r.project_type for r in projects.applicable(f).collect()} == {"react_vite", "maven_java", "spring_boot"}
     assert tuple(projects.chosen(projects.applicable(f)).first()) == ("spring_boot", "java", "spring_boot")
     assert projects.applicable(f.limit(0)).count() == 0
+
+
+def test_more_entry_points(spark):
+    manifest = '<activity android:name=".A"><intent-filter/></activity><activity android:name=".Main"><action android:name="android.intent.action.MAIN"/></activity>'
+    f = spark.createDataFrame([("angular.json", '{"projects": {"p": {"architect": {"build": {"options": {"main": "src/main.ts"}}}}}}'), ("app/AndroidManifest.xml", manifest), ("x/settings.py", "")], "path string, content string")
+    assert {(r.type, r.value) for r in projects.entry_points(f).collect()} == {("angular_main", "src/main.ts"), ("android_activity", ".Main"), ("django", "x/settings.py")}
+
+
+def test_views(spark):
+    n = spark.createDataFrame([("a", "class", "f", "B"), ("b", "function", "f", "a"), ("c", "module", "g", "z"), ("d", "class", "g", None), ("e", "class", "g", "A")], "id string, type string, file string, name string")
+    assert {r.id for r in views.view_nodes(n, "file", "f").collect()} == {"a"} and {r.id for r in views.view_nodes(n, "repo").collect()} == {"c"}
+    assert {(r.type, r.position, r.id, r.total) for r in views.type_lists(n, 1).collect()} == {("class", 1, "e", 2), ("function", 1, "b", 1), ("module", 1, "c", 1)}
+    assert {r.id for r in views.related(n, "a").collect()} == {"b"}
+    i = spark.createDataFrame([("a", 3.5), ("b", 2.5), ("c", 0.0), ("d", 4.0)], "id string, importance double")
+    assert {r.id: (r.layer, r.position) for r in views.layers(i).collect()} == {"d": (0, 1), "a": (0, 2), "b": (1, 1), "c": (3, 1)}
+    assert one(spark, views.edge_style(F.lit("uses"))).dashed and one(spark, views.edge_style(F.lit("?"))).colour == "grey"
+
+
+def test_features(spark):
+    c = features.code_features(F.lit("import x;\nfunction a() { b.c(); let d: string = e ?? 1; }\nfunction a() {}"))
+    got = {k: one(spark, v) for k, v in c.items()}
+    assert (got["n_functions"], got["n_imports"], got["n_annotations"], got["n_calls"], got["has_default"]) == (1, 1, 1, 1, True)
+    assert one(spark, features.shortened(F.lit("a\nb\nc\nd"), 20)) == "a\nb\nc" and one(spark, features.shortened(F.lit("a\nb"), 20)) == "a\nb"
+    df = spark.createDataFrame([(1, "a"), (2, "a"), (3, None)], "k int, t string")
+    e = {r.key: r.embedding for r in features.seeded_embeddings(df, "k", F.col("t"), 16).collect()}
+    assert e[1] == e[2] != e[3] and sum(x * x for x in e[3]) == pytest.approx(1, abs=1e-5)
+    rows = [(f"is{i}", "boolean") for i in range(20)] + [(f"item{i}List", "array") for i in range(20)]
+    train = spark.createDataFrame(rows, "name string, label string").withColumn("v", features.feature_vector(F.col("name"), F.lit("")))
+    out = features.train_type_classifier(train, "label", "v", trees=5)(train).collect()
+    assert sum(r.label == r.predicted for r in out) >= 38
+
+
+def test_score_sources(spark):
+    w = lambda f: one(spark, F.round(scoring.weighted(f), 6))
+    assert w(scoring.from_type_inference(F.lit(None).cast("double"), F.lit(True), F.lit(2))) == pytest.approx((0.25 * 0.5 + 0.15 + 0.03 * 0.6) / 0.43, abs=1e-5)
+    assert w(scoring.from_data_flow(F.lit(3), F.lit(4), F.lit(True))) == 1.0
+    assert w(scoring.from_hook(F.lit(True), F.lit(False), F.lit(False))) == pytest.approx((0.15 * 0.7 + 0.1 * 0.5 + 0.1 * 0.6) / 0.35, abs=1e-5)
+    assert w(scoring.from_injection(F.lit(0), F.lit(False), F.lit(True))) == pytest.approx((0.25 * 0.6 + 0.1 * 0.8) / 0.48, abs=1e-5)
+    assert w(scoring.from_component(F.lit(0.9), F.lit(True), F.lit(4), F.lit(5), F.lit(9))) == 1.0
+    assert one(spark, scoring.entity_confidence(F.lit(True), F.lit(True), F.lit(True), F.lit(True), F.lit(9))) == 1.0
+    assert one(spark, scoring.reason(F.lit(0.5), "data_flow")) == "medium data flow"
+    assert one(spark, scoring.behaviour_confidence(F.array(F.lit(0.6), F.lit(0.2)))) == pytest.approx(0.68)
+
+
+def test_centroids_and_groups(spark):
+    rows = [(1, [1.0] + [0.0] * 63, 7), (2, [1.0, 0.1] + [0.0] * 62, 7), (3, [0.0, 1.0] + [0.0] * 62, 8), (4, [1.0, 0.2] + [0.0] * 62, 8)]
+    v = spark.createDataFrame(rows, "id bigint, v array<double>, g bigint")
+    near = vectors.top_k(v, v.where("id = 1"), 1, other_group="g").first()
+    assert near.other_id == 4
+    c = vectors.centroids(v, vectors.clusters(v.select("id", "v"), 0.97)).first()
+    assert (c.label, c.n) == (1, 3) and 0.98 < c.confidence < 1

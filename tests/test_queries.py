@@ -4,9 +4,9 @@ import os
 
 import duckdb
 import pytest
-from graphloom import queries_code, queries_export, queries_general, queries_graph, queries_symbols
+from graphloom import queries_code, queries_export, queries_general, queries_graph, queries_symbols, queries_views
 
-MODULES = (queries_general, queries_graph, queries_code, queries_symbols, queries_export)
+MODULES = (queries_general, queries_graph, queries_code, queries_symbols, queries_export, queries_views)
 ALL = {k: v for m in MODULES for k, v in m.queries().items()}
 SQL = {k: v for m in MODULES for k, v in m.oracle_sql().items()}
 
