@@ -5,10 +5,11 @@ says that id existed from ``since`` up to, not including, ``until`` (null: still
 
 Whether a stay covers a link is decided without an interval join: each stay turns into +1 at its
 start and -1 at its end, and an id exists at time t if the deltas up to t sum to more than zero.
-The sum has two parts.  Whole days before t come from a per-day table, aggregated map-side before
-it is shuffled, whose running sum per id sees at most one row per day.  The day of t itself is a
-running sum within (id, day).  No task ever holds all rows of an id, so a hot id spreads over its
-days, and copies of a stay or of a link add no pairs.
+The sum has two parts.  Whole days before t come from one row per id with its net change per day:
+stays are aggregated map-side before they are shuffled, and such a row grows with the days of the
+data, not with stays.  A link meets that one row, however hot its id is, and AQE splits the hot side.
+Only links whose id changes on their very day are looked at closer, by a running sum within (id,
+day).  No task ever holds all rows of an id, and copies of a stay or of a link add no pairs.
 
 The cascade is a fixpoint: a record whose referenced record is an orphan is an orphan by
 inheritance; each round semi-joins the links with the ids orphaned in the round before.
@@ -21,13 +22,15 @@ tables give empty results.  Extra columns of the inputs are never read.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..functions.exprs import whole_json
-from ..session import cut
+from ..session import spill_table
 
 #: Fixed value: characters that count as white space around an id.
 BLANKS = " \t\n\r\f\v\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\u0085\ufeff"
@@ -39,10 +42,6 @@ def bare(c: Column) -> Column:
     return F.btrim(c, F.lit(BLANKS))
 
 
-def _seconds(c: Column) -> Column:
-    return c.cast("timestamp")
-
-
 def node_stays(nodes: DataFrame) -> DataFrame:
     return nodes.select(
         bare(F.col("id")).alias("ref"), F.col("recorded_at").alias("since"), F.col("deleted_at").alias("until")
@@ -105,59 +104,53 @@ def direct_orphans(links: DataFrame, stays: DataFrame) -> DataFrame:
     starts = held.select("ref", F.col("since").alias("t"), F.lit(1).alias("delta"))
     ends = held.where(F.col("until").isNotNull()).select("ref", F.col("until").alias("t"), F.lit(-1).alias("delta"))
     deltas = starts.unionByName(ends).groupBy("ref", "t").agg(F.sum("delta").cast("int").alias("delta"))
-    far = F.lit("9999-01-01").cast("timestamp_ntz")
-    payload = F.struct("tbl", "record", "endpoint", "at", "own_id")
-    asked = links.select("ref", F.coalesce(F.col("at").cast("timestamp_ntz"), far).alias("t"), F.lit(0).alias("delta"), payload.alias("link"))
-    both = asked.unionByName(
-        deltas.select("ref", F.col("t").cast("timestamp_ntz").alias("t"), "delta", F.lit(None).cast(asked.schema["link"].dataType).alias("link"))
-    ).withColumn("day", F.to_date("t"))
-
-    # Per day: what is open when the day begins, and whether the id had any stay at all.
-    days = both.groupBy("ref", "day").agg(
-        F.sum("delta").alias("net"), F.max(F.col("link").isNull()).alias("held"), F.max(F.col("link").isNotNull()).alias("asked")
-    )
-    by_day = Window.partitionBy("ref").orderBy("day")
-    whole = Window.partitionBy("ref")
-    opened = (
-        days.withColumn("before", F.coalesce(F.sum("net").over(by_day.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-        .withColumn("ever", F.max("held").over(whole))
-        .where("asked")
-        .select("ref", "day", "before", "ever")
-    )
+    deltas = deltas.withColumn("day", F.to_date("t"))
+    net = deltas.groupBy("ref", "day").agg(F.sum("delta").alias("net"))
+    per_id = net.groupBy("ref").agg(F.collect_list(F.struct("day", "net")).alias("days"))
+
+    asked = links.withColumn("day", F.to_date("at")).join(per_id, "ref", "left")
+    before = F.aggregate(F.filter("days", lambda x: x["day"] < F.col("day")), F.lit(0).cast("bigint"), lambda s, x: s + x["net"])
+    asked = asked.withColumns({"before": F.coalesce(before, F.lit(0)), "changes": F.coalesce(F.exists("days", lambda x: x["day"] == F.col("day")), F.lit(False)), "ever": F.col("days").isNotNull()})
+    asked = asked.drop("days")
+    # most links see no change of their id on their own day
+    gone = F.when(F.col("at").isNull(), ~F.col("ever")).otherwise(F.col("before") <= 0)
+    plain = asked.where(~F.col("changes") & gone).select(*links.columns)
+
+    payload = F.struct(*[c for c in links.columns if c != "ref"])
+    same_day = asked.where("changes").select("ref", "day", F.col("at").cast("timestamp_ntz").alias("t"), F.lit(0).alias("delta"), "before", payload.alias("link"))
     within = Window.partitionBy("ref", "day").orderBy("t").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    counted = both.withColumn("so_far", F.sum("delta").over(within)).where(F.col("link").isNotNull())
-    missing = F.when(F.col("link.at").isNull(), ~F.col("ever")).otherwise(F.col("before") + F.col("so_far") <= 0)
-    return counted.join(opened, ["ref", "day"]).where(missing).select(
-        "link.tbl", "link.record", "link.endpoint", "ref", "link.at", "link.own_id"
+    both = same_day.unionByName(
+        deltas.select("ref", "day", F.col("t").cast("timestamp_ntz").alias("t"), "delta", F.lit(None).cast("bigint").alias("before"), F.lit(None).cast(same_day.schema["link"].dataType).alias("link"))
     )
+    counted = both.withColumn("so_far", F.sum("delta").over(within)).where(F.col("link").isNotNull() & (F.col("before") + F.col("so_far") <= 0))
+    return plain.unionByName(counted.select("ref", "link.*").select(*links.columns))
 
 
 def cascade(links: DataFrame, direct: DataFrame, max_rounds: int = 1000) -> DataFrame:
     """All orphaned links with ``kind`` direct or inherited and the round that found them.
 
-    ``max_rounds`` only guards against endless loops; every round orphans at least one more id,
-    and a loop that reached it raises instead of returning less.
+    Only records that others can refer to (those with an own_id) carry the cascade on, so the rounds
+    run over their links alone; all other links are met once, by the ids that the fixpoint ends with.
+    ``max_rounds`` only guards against endless loops; every round orphans at least one more id, and
+    a loop that reached it raises instead of returning less.
     """
-    found = cut(direct.distinct().withColumns({"kind": F.lit("direct"), "depth": F.lit(0)}))
-    known = cut(found.where(F.col("own_id").isNotNull()).select(F.col("own_id").alias("ref")).distinct())
-    frontier, parts = known, [found]
+    found = spill_table(direct.distinct().withColumns({"kind": F.lit("direct"), "depth": F.lit(0)}), "orphans")
+    inner = spill_table(links.where(F.col("own_id").isNotNull()).select("ref", "own_id").distinct(), "orphan-links")
+    frontier = spill_table(found.where(F.col("own_id").isNotNull()).select(F.col("own_id").alias("ref")).distinct(), "orphan-ids")
+    levels = [frontier.withColumn("depth", F.lit(0))]
     for depth in range(1, max_rounds + 1):
         if frontier.isEmpty():
             break
-        # A link may name an orphaned id and be a direct orphan itself: it stays direct.
-        reached = links.join(frontier, "ref", "left_semi").select(*direct.columns).distinct()
-        reached = reached.withColumns({"kind": F.lit("inherited"), "depth": F.lit(depth)})
-        reached = cut(reached.join(found, ["tbl", "record", "endpoint", "ref"], "left_anti").select(*found.columns))
-        parts.append(reached)
-        fresh = reached.where(F.col("own_id").isNotNull()).select(F.col("own_id").alias("ref")).distinct()
-        frontier = cut(fresh.join(known, "ref", "left_anti"))
-        known = known.unionByName(frontier)
+        fresh = inner.join(frontier, "ref", "left_semi").select(F.col("own_id").alias("ref")).distinct()
+        known = reduce(DataFrame.unionByName, (level.select("ref") for level in levels))
+        frontier = spill_table(fresh.join(known, "ref", "left_anti"), "orphan-ids")
+        levels.append(frontier.withColumn("depth", F.lit(depth)))
     else:
         raise RuntimeError(f"the cascade did not end within {max_rounds} rounds")
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    reached = links.join(reduce(DataFrame.unionByName, levels), "ref").select(*direct.columns, F.lit("inherited").alias("kind"), (F.col("depth") + 1).alias("depth")).distinct()
+    # a link may name an orphaned id and be a direct orphan itself: it stays direct
+    reached = reached.join(found.select("tbl", "record", "endpoint", "ref"), ["tbl", "record", "endpoint", "ref"], "left_anti")
+    return found.unionByName(reached.select(*found.columns))
 
 
 def report(orphans: DataFrame) -> DataFrame:
