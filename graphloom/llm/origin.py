@@ -71,6 +71,7 @@ _QUOTED = re.compile(r"""[rbf]?(?:"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|`(?:[^
 _NAMED = re.compile(r"[a-z$]+[A-Z\d_][\w$]*|[A-Z_][\w$]+")
 _NUMBER = re.compile(r"\b\d[\w.]*")
 _LINES = re.compile(r"(?m)^[ \t]*([^\s*#/][^\r\n]{6,399})")
+_IMPORTS = re.compile(r"(?m)^(?:import|from|#include|require)\b")
 _STEPS = re.compile(r"\b(?:return|def|if|for|function|while|self|this|await)\b")
 _WORDS = re.compile(r"\w+")
 _HASHED = re.compile(r"[._-](?=[0-9a-f]*\d)[0-9a-f]{6,}(?=\.)")
@@ -100,6 +101,8 @@ def is_data(text: str) -> bool:
         return False
     if len(_STEPS.findall(text)) * 400 > len(text):  # too many steps for data
         return False
+    if len(_IMPORTS.findall(text)) > 1:  # data needs no modules
+        return False
     held = 0  # characters of literals that are no comments and no long prose
     rest = 0  # characters of words outside literals
     names: set[str] = set()
