@@ -71,7 +71,7 @@ def tree(flows: DataFrame, root: str, max_depth: int = 3) -> str:
 
 
 def elapsed(events: DataFrame) -> DataFrame:
-    """(key, operation, started, seconds) of each end event with the start before it.
+    """(key, operation, started, micros) of each end event with the start before it.
 
     events: (key, operation, kind, ts), kind being start or end.  An end without a start, or after
     another end, has none.
@@ -79,5 +79,5 @@ def elapsed(events: DataFrame) -> DataFrame:
     w = Window.partitionBy("key", "operation").orderBy("ts", F.desc("kind"))
     before = F.lag(F.struct("kind", "ts")).over(w)
     rows = events.withColumn("b", before).where((F.col("kind") == "end") & (F.col("b.kind") == "start"))
-    seconds = F.col("ts").cast("timestamp").cast("double") - F.col("b.ts").cast("timestamp").cast("double")
-    return rows.select("key", "operation", F.col("b.ts").alias("started"), seconds.alias("seconds"))
+    micros = F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.col("b.ts").cast("timestamp"))
+    return rows.select("key", "operation", F.col("b.ts").alias("started"), micros.alias("micros"))

@@ -375,10 +375,10 @@ def overall_progress(spark: SparkSession, d: str) -> DataFrame:
     return progress.overall(last, "event_type", "done", _EVENT_WEIGHTS).select("user_id", F.round("overall", 6).alias("overall"))
 
 
-@query("SELECT user_id, max(value) AS peak, round(avg(value), 4) AS mean, count(*) AS n, arg_max(event_id, (value, event_id)) AS peak_event FROM events WHERE value IS NOT NULL GROUP BY 1")
+@query("SELECT user_id, max(value) AS peak, CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS total_cents, count(*) AS n, arg_max(event_id, (value, event_id)) AS peak_event FROM events WHERE value IS NOT NULL GROUP BY 1")
 def peak_usage(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "events").where("value IS NOT NULL")
-    return e.groupBy("user_id").agg(F.max("value").alias("peak"), F.round(F.avg("value"), 4).alias("mean"), F.count("*").alias("n"), F.max_by("event_id", F.struct("value", "event_id")).alias("peak_event"))
+    return e.groupBy("user_id").agg(F.max("value").alias("peak"), F.sum(F.round(F.col("value") * 100).cast("bigint")).alias("total_cents"), F.count("*").alias("n"), F.max_by("event_id", F.struct("value", "event_id")).alias("peak_event"))
 
 
 @query("SELECT event_type AS operation, count(*) AS n, min(value) AS least, max(value) AS most, round(avg(value), 4) AS mean, round(sum(value), 2) AS total FROM events GROUP BY 1")

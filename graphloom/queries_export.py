@@ -105,13 +105,13 @@ def insights(spark: SparkSession, d: str) -> DataFrame:
 @query(
     """WITH e AS (SELECT user_id AS key, 'visit' AS operation, CASE WHEN event_type = 'view' THEN 'start' WHEN event_type = 'purchase' THEN 'end' END AS kind, ts FROM events),
 w AS (SELECT *, lag(kind) OVER v AS bk, lag(ts) OVER v AS bt FROM e WHERE kind IS NOT NULL WINDOW v AS (PARTITION BY key, operation ORDER BY ts, kind DESC))
-SELECT key, bt AS started, round((epoch_us(ts) - epoch_us(bt)) / 1000000.0, 3) AS seconds FROM w WHERE kind = 'end' AND bk = 'start'"""
+SELECT key, bt AS started, epoch_us(ts) - epoch_us(bt) AS micros FROM w WHERE kind = 'end' AND bk = 'start'"""
 )
 def operation_times(spark: SparkSession, d: str) -> DataFrame:
     """From a view to the purchase that follows it."""
     kind = F.when(F.col("event_type") == "view", "start").when(F.col("event_type") == "purchase", "end")
     e = table(spark, d, "events").select(F.col("user_id").alias("key"), F.lit("visit").alias("operation"), kind.alias("kind"), "ts").where("kind IS NOT NULL")
-    return lineage.elapsed(e).select("key", "started", F.round("seconds", 3).alias("seconds"))
+    return lineage.elapsed(e).select("key", "started", "micros")
 
 
 def queries():

@@ -82,7 +82,7 @@ def test_lineage(spark):
     assert lineage.tree(flows, "a", 2) == "a\n  b\n    c [...]"
     t = dt.datetime(2026, 1, 1)
     e = spark.createDataFrame([("k", "op", "start", t), ("k", "op", "end", t + dt.timedelta(seconds=2)), ("k", "op", "end", t + dt.timedelta(seconds=3)), ("q", "op", "end", t)], "key string, operation string, kind string, ts timestamp_ntz")
-    assert [(r.key, r.seconds) for r in lineage.elapsed(e).collect()] == [("k", 2.0)]
+    assert [(r.key, r.micros) for r in lineage.elapsed(e).collect()] == [("k", 2_000_000)]
 
 
 def test_exports(spark, tmp_path):
