@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -47,7 +49,9 @@ def shared_folder(spark: SparkSession) -> str:
         return named
     own = spark.conf.get("graphloom.checkpoint.dir", None)
     if not own:
-        own = "file://" + tempfile.mkdtemp(prefix="graphloom-checkpoint-")
+        folder = tempfile.mkdtemp(prefix="graphloom-checkpoint-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        own = "file://" + folder
         spark.conf.set("graphloom.checkpoint.dir", own)
     return own
 
