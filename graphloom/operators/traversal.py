@@ -65,19 +65,56 @@ def cycles(links: DataFrame, max_length: int) -> DataFrame:
     return found.withColumn("severity", severity)
 
 
-def on_cycles(links: DataFrame) -> DataFrame:
-    """(node) of nodes that reach themselves: what is left after ends are peeled off again and again.
+def strong_components(links: DataFrame) -> DataFrame:
+    """(node, label) of nodes that reach themselves; label is the smallest node of their strongly connected component.
 
-    Peeling leaves nodes on cycles and between cycles; the latter go by a reachability check.
+    Ends are peeled off again and again.  Then the smallest node runs along the links as a colour; what
+    reaches the node that gave the colour, within the colour, is its component.  Links between colours
+    lie on no cycle and fall away.  No walk is bounded in length.
     """
     rest = cut(links.select("src", "dst").distinct())
+    found = None
     while True:
-        both = rest.select(F.col("src").alias("n")).intersect(rest.select(F.col("dst").alias("n")))
-        kept = cut(rest.join(both.select(F.col("n").alias("src")), "src", "left_semi").join(both.select(F.col("n").alias("dst")), "dst", "left_semi"))
-        if kept.count() == rest.count():
+        while True:
+            both = rest.select(F.col("src").alias("n")).intersect(rest.select(F.col("dst").alias("n")))
+            kept = cut(rest.join(both.select(F.col("n").alias("src")), "src", "left_semi").join(both.select(F.col("n").alias("dst")), "dst", "left_semi"))
+            if kept.count() == rest.count():
+                break
+            rest = kept
+        if rest.isEmpty():
             break
-        rest = kept
-    return reachable(rest, rest.select(F.col("src").alias("seed")).distinct()).where("seed = node").select("node").distinct()
+        colour = cut(rest.select(F.col("src").alias("node"), F.col("src").alias("c")).distinct())
+        while True:
+            near = rest.join(colour, rest["src"] == colour["node"]).groupBy("dst").agg(F.min("c").alias("m"))
+            after = cut(colour.join(near, colour["node"] == near["dst"], "left").select("node", F.least("c", F.coalesce("m", "c")).alias("new"), "c"))
+            colour = after.select("node", F.col("new").alias("c"))
+            if after.where("new <> c").isEmpty():
+                break
+        inside = rest.join(colour.withColumnsRenamed({"node": "src", "c": "of"}), "src").join(colour.withColumnsRenamed({"node": "dst", "c": "at"}), "dst").where("of = at").select("src", "dst", "of")
+        inside = cut(inside)
+        frontier = cut(colour.where("node = c"))
+        part = frontier
+        while True:
+            reached = inside.join(frontier, (inside["dst"] == frontier["node"]) & (inside["of"] == frontier["c"])).select(inside["src"].alias("node"), "c").distinct()
+            frontier = cut(reached.join(part, ["node", "c"], "left_anti"))
+            if frontier.isEmpty():
+                break
+            part = part.unionByName(frontier)
+        part = cut(part)
+        # a root alone is its own component: it lies on a cycle only if a link leads to itself
+        looped = inside.where("src = dst").select(F.col("src").alias("node"))
+        several = part.groupBy("c").agg(F.count("*").alias("n")).where("n > 1").select("c")
+        ring = part.join(several, "c", "left_semi").select("node", "c").unionByName(part.join(looped, "node", "left_semi").select("node", "c")).distinct()
+        ring = ring.select("node", F.col("c").alias("label"))
+        found = ring if found is None else found.unionByName(ring)
+        done = part.select("node")
+        rest = cut(inside.select("src", "dst").join(done.withColumnRenamed("node", "src"), "src", "left_anti").join(done.withColumnRenamed("node", "dst"), "dst", "left_anti"))
+    return found if found is not None else rest.select(F.col("src").alias("node"), F.col("src").alias("label"))
+
+
+def on_cycles(links: DataFrame) -> DataFrame:
+    """(node) of nodes that reach themselves."""
+    return strong_components(links).select("node").distinct()
 
 
 def components(pairs: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -62,16 +62,25 @@ def entities(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def project_graph(spark: SparkSession, d: str, top: int = 2) -> DataFrame:
-    """Projects that refer to each other: for each project the ``top`` others it refers to most."""
+def all_links(spark: SparkSession, d: str) -> DataFrame:
+    """(src, dst): every link between nodes, of whatever type."""
+    return links_now(spark, d).select(F.col("source").alias("src"), F.col("target").alias("dst")).distinct()
+
+
+def project_graph(spark: SparkSession, d: str, top: int | None = 2) -> DataFrame:
+    """Projects that refer to each other: for each project the ``top`` others it refers to most, without
+    'renders'; with None all of them, by edges of every type."""
     from pyspark.sql.window import Window
 
     n = nodes_now(spark, d).select("id", F.element_at(F.split("file", "/"), 1).alias("p")).where(F.col("p").isNotNull())
-    e = edges_now(spark, d).where(F.col("type") != "renders").select("source", "target")
+    e = edges_now(spark, d)
+    e = (e if top is None else e.where(F.col("type") != "renders")).select("source", "target")
     pairs = e.join(n.select(F.col("id").alias("source"), F.col("p").alias("src")), "source").join(
         n.select(F.col("id").alias("target"), F.col("p").alias("dst")), "target"
     )
     counted = pairs.where("src <> dst").groupBy("src", "dst").agg(F.count("*").alias("n"))
+    if top is None:
+        return counted.select("src", "dst", "n")
     best = Window.partitionBy("src").orderBy(F.desc("n"), "dst")
     return counted.withColumn("rn", F.row_number().over(best)).where(F.col("rn") <= top).select("src", "dst", "n")
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators import lineage, modules
-from .plans.graph_tables import links_now, nodes_now, project_graph, sql
+from .plans.graph_tables import all_links, links_now, nodes_now, project_graph, sql
 from .queries_code import _FILES, _files
 from .sources import exports
 from .tables import table
@@ -70,6 +70,20 @@ def data_consumers(spark: SparkSession, d: str) -> DataFrame:
     return lineage.consumers(p, p.select(F.col("src").alias("seed")).distinct()).groupBy("seed").agg(F.count("*").alias("n"))
 
 
+@query()
+def node_origins(spark: SparkSession, d: str) -> DataFrame:
+    """As data_origins, over all links of the node graph."""
+    e = all_links(spark, d)
+    return lineage.origins(e, e.select(F.explode(F.array("src", "dst")).alias("seed")).distinct())
+
+
+@query()
+def node_consumers(spark: SparkSession, d: str) -> DataFrame:
+    """As data_consumers, over all links of the node graph."""
+    e = all_links(spark, d)
+    return lineage.consumers(e, e.select(F.col("src").alias("seed")).distinct()).groupBy("seed").agg(F.count("*").alias("n"))
+
+
 @query(
     """SELECT id, CASE WHEN lvl IN ('system', 'container', 'component', 'code') THEN lvl ELSE 'code' END AS c4_level, type_name, n_dependencies FROM (
 SELECT id, json_extract_string(js, '$.c4_level') AS lvl, json_extract_string(js, '$.type_info.name') AS type_name,

@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from .functions import exprs
 from .operators import query as api
 from .operators import scoring, traversal, validation
-from .plans.graph_tables import C4_LEVELS, EDGE_TYPES, NODE_TYPES, edges_now, entities, links_now, nodes_now, project_graph, sql
+from .plans.graph_tables import C4_LEVELS, EDGE_TYPES, NODE_TYPES, all_links, edges_now, entities, links_now, nodes_now, project_graph, sql
 from .tables import table
 
 QUERIES: dict = {}
@@ -562,6 +562,36 @@ def dependency_depth(spark: SparkSession, d: str) -> DataFrame:
     return traversal.reachable(e, e.select(F.col("src").alias("seed")).distinct()).groupBy(F.col("seed").alias("node")).agg(F.max("depth").alias("depth"))
 
 
+# the same over all links of the node graph, which no SQL walks in time
+
+
+@query()
+def node_dependencies(spark: SparkSession, d: str) -> DataFrame:
+    """All that each node depends on, directly or through others."""
+    e = all_links(spark, d)
+    return traversal.reachable(e, e.select(F.col("src").alias("seed")).distinct()).select("seed", "node")
+
+
+@query()
+def node_depth(spark: SparkSession, d: str) -> DataFrame:
+    """How far the farthest dependency of each node is away."""
+    e = all_links(spark, d)
+    return traversal.reachable(e, e.select(F.col("src").alias("seed")).distinct()).groupBy(F.col("seed").alias("node")).agg(F.max("depth").alias("depth"))
+
+
+@query()
+def node_cycles(spark: SparkSession, d: str) -> DataFrame:
+    """Nodes on cycles of whatever length, with the smallest node of the circle of nodes that reach each other."""
+    return traversal.strong_components(all_links(spark, d))
+
+
+@query()
+def project_paths(spark: SparkSession, d: str) -> DataFrame:
+    """As dependency_paths, over all pairs of projects."""
+    found = traversal.paths(project_graph(spark, d, top=None).select("src", "dst"), "lumen-weave", "lumen-ledger", 4)
+    return found.select(F.array_join("path", ">").alias("path"), F.col("length").cast("bigint").alias("length"))
+
+
 @query("SELECT source AS node, CAST(count(DISTINCT target) AS BIGINT) AS n, array_to_string(list_sort(list(DISTINCT target)), ',') AS providers FROM links_now WHERE type = 'depends_on' GROUP BY 1", "links_now")
 def adjacency(spark: SparkSession, d: str) -> DataFrame:
     e = links_now(spark, d).where("type = 'depends_on'").groupBy(F.col("source").alias("node")).agg(F.array_sort(F.collect_set("target")).alias("t"))
