@@ -1,14 +1,12 @@
 """Deeply nested semi-structured records as flat tables (problem 6).
 
-Level by level, on Arrow buffers: one decode per batch turns the JSON texts into values; each
-level then is a list array (offsets and children), ``list_parent_indices`` says which row every
-child comes from, and ``take`` carries the keys of that row down.  Rows are never looped over once
-per depth; a record of any depth costs one pass per level of the deepest record in the batch.
+Each text is decoded once.  Its objects are then walked in Python, level by level over a batch, each
+object once, since the texts have no common schema; the tables leave as Arrow batches.
 
 Cases: null text, text that is no JSON (cut-off text included) and JSON scalars yield nothing.
 JSON text inside JSON counts as what it holds.  A wrapper around the list, a single object instead
 of a list, and an object whose keys are the ids of its values are read alike.  Objects without id
-yield no row; their children link to the nearest object around them that has one.  Equal rows come
+stand in the tables of classes and methods; their children link to the nearest object around them that has one.  Equal rows come
 out once.  Clashing or extra columns of the input are never read.
 """
 
@@ -23,7 +21,10 @@ from pyspark.sql import functions as F
 #: Fields of a class or method object, and those that hold further objects.
 NESTS = ("classes", "methods")
 SCALARS = ("id", "name", "startLine", "endLine", "code", "description")
-OUT = "root_table string, root_id string, parent_id string, child_id string"
+OBJECT_FIELDS = ("name", "start_line", "end_line", "code", "description")
+PLACE = ("file", "line_start", "line_end", "column_start", "column_end")
+OBJECTS = "file_id bigint, object_key string, parent_key string, id string, parent_id string, kind string, " + ", ".join(f"{c} string" for c in OBJECT_FIELDS)
+LOCATIONS = "ord bigint, location_key string, node_id string, " + ", ".join(f"{c} string" for c in PLACE)
 
 
 def opened(value, depth: int = 0):
@@ -47,48 +48,54 @@ def as_id(value) -> str | None:
     return text if text.strip() else None
 
 
-def members(value, key: str | None = None) -> list[tuple[str | None, dict]]:
-    """(id, object) of each object directly in ``value``."""
+def kinded(value, key: str | None = None, kind: str = "classes") -> list[tuple[str | None, dict, str]]:
+    """(id, object, the list it is of) of each object directly in ``value``."""
     value = opened(value)
     if isinstance(value, list):
-        return [m for v in value for m in members(v)]
+        return [m for v in value for m in kinded(v, kind=kind)]
     if not isinstance(value, dict):
         return []
     if any(k in value and not isinstance(value[k], (dict, list)) for k in SCALARS):
         own = as_id(value.get("id"))
-        return [(own if own is not None else key, value)]
+        return [(own if own is not None else key, value, kind)]
     if any(k in value for k in NESTS):  # a wrapper, or an object of which only its key is left
         if key is None:
-            return [m for k in NESTS for m in members(value.get(k))]
-        return [(key, value)]
-    return [m for k, v in value.items() for m in members(v, k)]
+            return [m for k in NESTS for m in kinded(value.get(k), kind=k)]
+        return [(key, value, kind)]
+    return [m for k, v in value.items() for m in kinded(v, k, kind)]
 
 
-def below(obj: dict) -> list[tuple[str | None, dict]]:
-    return [m for k in NESTS for m in members(obj.get(k))]
+def members(value, key: str | None = None) -> list[tuple[str | None, dict]]:
+    """(id, object) of each object directly in ``value``."""
+    return [(own, obj) for own, obj, _ in kinded(value, key)]
 
 
-def _span(value) -> str | None:
-    value = opened(value)
-    if not isinstance(value, dict):
-        return None
-    ends = []
-    for k in ("line_start", "line_end"):
-        v = value.get(k)
-        if isinstance(v, float) and v.is_integer():
-            v = int(v)
-        v = as_id(v)
-        if v is None:
-            return None
-        ends.append(v.strip())
-    return "-".join(ends)
-
-
-def locations(value) -> list[str]:
+def below(obj: dict) -> list[tuple[str | None, dict, str]]:
+    return [m for k in NESTS for m in kinded(obj.get(k), kind=k)]
+
+
+def as_text(value) -> str | None:
+    """The value as text, of whatever type; whole numbers without a point."""
+    if value is None or isinstance(value, str):
+        return value
+    if isinstance(value, float) and value.is_integer():
+        value = int(value)
+    return json.dumps(value, ensure_ascii=False)
+
+
+def _line(value) -> str | None:
+    if isinstance(value, float) and value.is_integer():
+        value = int(value)
+    value = as_id(value)
+    return None if value is None else value.strip()
+
+
+def places(value) -> list[dict]:
+    """The location objects in ``value``, with any of their fields."""
     value = opened(value)
     if isinstance(value, list):
-        return [s for v in value for s in locations(v)]
-    return [s] if (s := _span(value)) is not None else []
+        return [p for v in value for p in places(v)]
+    return [value] if isinstance(value, dict) and any(value.get(k) is not None for k in PLACE) else []
 
 
 def _decode(text):
@@ -100,62 +107,81 @@ def _decode(text):
         return None
 
 
-def _children(counts: list[int], values: list):
-    """A list array from the number of children of each row, and its parent indices."""
-    import numpy as np
+def _object_batches(batches: Iterator) -> Iterator:
     import pyarrow as pa
-    import pyarrow.compute as pc
 
-    offsets = np.zeros(len(counts) + 1, dtype=np.int32)
-    np.cumsum(counts, out=offsets[1:])
-    lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, type=pa.string()))
-    return pc.list_flatten(lists), pc.list_parent_indices(lists)
+    names = ["file_id", "object_key", "parent_key", "id", "parent_id", "kind", *OBJECT_FIELDS]
+    for batch in batches:
+        out: list[list] = [[] for _ in names]
+        level = []
+        for root, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            if root is not None:
+                level += [(root, f"{root}/{i}", None, str(root), m) for i, m in enumerate(kinded(_decode(text)))]
+        while level:
+            under = []
+            for root, key, around, parent, (own, obj, kind) in level:
+                fields = (as_text(obj.get(k)) for k in ("name", "startLine", "endLine", "code", "description"))
+                for column, v in zip(out, (root, key, around, own, parent, kind, *fields)):
+                    column.append(v)
+                nearest = own if own is not None else parent
+                under += [(root, f"{key}/{i}", key, nearest, m) for i, m in enumerate(below(obj))]
+            level = under
+        if out[0]:
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), *(pa.array(c, pa.string()) for c in out[1:])], names)
 
 
-def _class_batches(batches: Iterator) -> Iterator:
+def _location_batches(batches: Iterator) -> Iterator:
     import pyarrow as pa
-    import pyarrow.compute as pc
 
+    names = ["ord", "location_key", "node_id", *PLACE]
     for batch in batches:
-        root = pc.cast(batch.column(0), pa.string())
-        parent = root
-        level = [members(_decode(t)) for t in batch.column(1).to_pylist()]
-        while any(level):
-            ids, of = _children([len(x) for x in level], [i for x in level for i, _ in x])
-            root, parent = root.take(of), parent.take(of)
-            has = pc.and_(pc.is_valid(ids), pc.is_valid(root))
-            if pc.any(has).as_py():
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(["hier_files"]).take(pa.array([0] * pc.sum(has).as_py())), root.filter(has), parent.filter(has), ids.filter(has)],
-                    ["root_table", "root_id", "parent_id", "child_id"],
-                )
-            parent = pc.coalesce(ids, parent)
-            level = [below(o) for x in level for _, o in x]
+        out: list[list] = [[] for _ in names]
+        for root, node, text in zip(*(c.to_pylist() for c in batch.columns)):
+            meta = _decode(text)
+            for i, place in enumerate(places(meta.get("location")) if isinstance(meta, dict) else []):
+                fields = (as_text(place.get(k)) if k == "file" else _line(place.get(k)) for k in PLACE)
+                for column, v in zip(out, (root, f"{root}/{i}", node, *fields)):
+                    column.append(v)
+        if out[0]:
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), *(pa.array(c, pa.string()) for c in out[1:])], names)
 
 
-def _location_batches(batches: Iterator) -> Iterator:
-    import pyarrow as pa
-    import pyarrow.compute as pc
+def objects(files: DataFrame) -> DataFrame:
+    """Every class and method object of hier_files.classes with all its fields.
 
-    for batch in batches:
-        meta = [_decode(t) for t in batch.column(2).to_pylist()]
-        spans = [locations(m.get("location")) if isinstance(m, dict) else [] for m in meta]
-        ids, of = _children([len(x) for x in spans], [s for x in spans for s in x])
-        if len(ids):
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(["nodes"]).take(pa.array([0] * len(ids))), pc.cast(batch.column(0), pa.string()).take(of), pc.cast(batch.column(1), pa.string()).take(of), ids],
-                ["root_table", "root_id", "parent_id", "child_id"],
-            )
+    object_key is its own key, parent_key that of the object around it (null at the top); parent_id is
+    the id of the nearest object around it that has one, else file_id as text.
+    """
+    return files.where(F.col("classes").isNotNull()).select(F.col("file_id").cast("bigint").alias("file_id"), "classes").mapInArrow(_object_batches, OBJECTS)
+
+
+def classes(files: DataFrame) -> DataFrame:
+    """(file_id, object_key, parent_key, id, parent_id, name, start_line, end_line, code, description) of classes."""
+    return objects(files).where("kind = 'classes'").drop("kind").distinct()
+
+
+def methods(files: DataFrame) -> DataFrame:
+    """The same of methods."""
+    return objects(files).where("kind = 'methods'").drop("kind").distinct()
+
+
+def locations(nodes: DataFrame) -> DataFrame:
+    """(ord, location_key, node_id, file, line_start, line_end, column_start, column_end) of the locations in nodes.metadata."""
+    n = nodes.where(F.col("metadata").isNotNull()).select(F.col("ord").cast("bigint").alias("ord"), F.col("id").cast("string").alias("id"), "metadata")
+    return n.mapInArrow(_location_batches, LOCATIONS).distinct()
 
 
 def class_links(files: DataFrame) -> DataFrame:
-    """Class and method objects of hier_files.classes with the nearest object around each."""
-    return files.where(F.col("classes").isNotNull()).select("file_id", "classes").mapInArrow(_class_batches, OUT).distinct()
+    """Class and method objects with an id, with the nearest object around each."""
+    o = objects(files).where("id IS NOT NULL")
+    return o.select(F.lit("hier_files").alias("root_table"), F.col("file_id").cast("string").alias("root_id"), "parent_id", F.col("id").alias("child_id")).distinct()
 
 
 def location_links(nodes: DataFrame) -> DataFrame:
-    """Locations in nodes.metadata."""
-    return nodes.where(F.col("metadata").isNotNull()).select("ord", "id", "metadata").mapInArrow(_location_batches, OUT).distinct()
+    """Locations with both lines."""
+    both = locations(nodes).where("line_start IS NOT NULL AND line_end IS NOT NULL")
+    child = F.concat_ws("-", "line_start", "line_end")
+    return both.select(F.lit("nodes").alias("root_table"), F.col("ord").cast("string").alias("root_id"), F.col("node_id").alias("parent_id"), child.alias("child_id")).distinct()
 
 
 def flat_links(files: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -32,13 +32,28 @@ def p2_orphan_report(spark: SparkSession, d: str) -> DataFrame:
     return orphans.report(orphans.cascade(links, direct))
 
 
+def p6_classes(spark: SparkSession, d: str) -> DataFrame:
+    """Classes in hier_files.classes, with all their fields."""
+    return nesting.classes(table(spark, d, "hier_files"))
+
+
+def p6_methods(spark: SparkSession, d: str) -> DataFrame:
+    """Methods in hier_files.classes, with all their fields."""
+    return nesting.methods(table(spark, d, "hier_files"))
+
+
+def p6_locations(spark: SparkSession, d: str) -> DataFrame:
+    """Locations in nodes.metadata, also those with one line or none."""
+    return nesting.locations(table(spark, d, "nodes"))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     out = nesting.flat_links(table(spark, d, "hier_files"), table(spark, d, "nodes"))
     return out.withColumn("root_id", F.col("root_id").cast("bigint"))
 
 
 def queries():
-    return {"p2_found": p2_found, "p2_orphan_report": p2_orphan_report, "p6_found": p6_found}
+    return {"p2_found": p2_found, "p2_orphan_report": p2_orphan_report, "p6_found": p6_found, "p6_classes": p6_classes, "p6_methods": p6_methods, "p6_locations": p6_locations}
 
 
 _TRIM = "trim({}, chr(32)||chr(9)||chr(10)||chr(13)||chr(12)||chr(11)||chr(160)||chr(12288))"

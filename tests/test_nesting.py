@@ -65,3 +65,16 @@ def test_locations(spark):
     df = spark.createDataFrame([(i, f"n{i}", t) for i, t in enumerate(texts)], "ord bigint, id string, metadata string")
     got = {(r.root_id, r.parent_id, r.child_id) for r in nesting.location_links(df).collect()}
     assert got == {("0", "n0", "1-2"), ("1", "n1", "1-2"), ("1", "n1", "3-4"), ("2", "n2", "1-2"), ("3", "n3", "6-7")}
+
+
+def test_tables(spark):
+    text = json.dumps([{"name": "C", "startLine": "3", "endLine": 9, "methods": {"m1": {"name": "f", "startLine": 4, "endLine": 5, "code": "f() {}", "description": None}}, "classes": [{"id": "d", "name": "D"}]}])
+    files = spark.createDataFrame([(7, text), (7, text), (8, '{"methods": [{"id": "m", "name": ["g"]}]}')], "file_id bigint, classes string")
+    cols = ("file_id", "object_key", "parent_key", "id", "parent_id", "name", "start_line", "end_line", "code", "description")
+    rows = lambda df, c: sorted(tuple(r[k] for k in c) for r in df.collect())
+    assert rows(nesting.classes(files), cols) == [(7, "7/0", None, None, "7", "C", "3", "9", None, None), (7, "7/0/0", "7/0", "d", "7", "D", None, None, None, None)]
+    assert rows(nesting.methods(files), cols) == [
+        (7, "7/0/1", "7/0", "m1", "7", "f", "4", "5", "f() {}", None), (8, "8/0", None, "m", "8", '["g"]', None, None, None, None),
+    ]
+    nodes = spark.createDataFrame([(1, "n", json.dumps({"location": [{"file": "a", "line_start": 1}, {"file": "a", "line_start": "2", "line_end": 3.0, "column_end": 4}]}))], "ord bigint, id string, metadata string")
+    assert rows(nesting.locations(nodes), ("ord", "location_key", "node_id", *nesting.PLACE)) == [(1, "1/0", "n", "a", "1", None, None, None), (1, "1/1", "n", "a", "2", "3", None, "4")]
