@@ -113,6 +113,17 @@ def semantic_texts(spark: SparkSession, d: str) -> DataFrame:
     return e.select("embedding_id", text.alias("text"), features.cache_key(F.col("entity_name"), F.col("context"), F.lit("")).alias("key")).distinct()
 
 
+@query(
+    """SELECT DISTINCT embedding_id, 'name: ' || entity_name || ' | type: ' || lower(entity_type) || ' | context: ' || context AS text, md5(coalesce(entity_name, '') || '|' || coalesce(context, '') || '|') AS key
+FROM semantic_embeddings WHERE entity_name IS NOT NULL AND entity_type IS NOT NULL AND context IS NOT NULL"""
+)
+def semantic_whole_texts(spark: SparkSession, d: str) -> DataFrame:
+    """As semantic_texts, with the whole context."""
+    e = table(spark, d, "semantic_embeddings").where("entity_name IS NOT NULL AND entity_type IS NOT NULL AND context IS NOT NULL")
+    text = features.semantic_text(F.col("entity_name"), F.lower("entity_type"), F.col("context"), F.lit(None).cast("string"))
+    return e.select("embedding_id", text.alias("text"), features.cache_key(F.col("entity_name"), F.col("context"), F.lit("")).alias("key")).distinct()
+
+
 @query(
     f"""WITH {_FILES}, t AS (SELECT file_id, unnest(regexp_extract_all(content, 'useContext\\(([A-Za-z_$][A-Za-z0-9_$]*)\\)', 1)) AS context, 'consumer' AS role FROM files WHERE content IS NOT NULL
 UNION ALL SELECT file_id, unnest(regexp_extract_all(content, '<([A-Za-z_$][A-Za-z0-9_$]*)\\.Provider', 1)), 'provider' FROM files WHERE content IS NOT NULL)
