@@ -159,16 +159,79 @@ def similar_classes(vectors: DataFrame, least: float) -> tuple[DataFrame, DataFr
     return cut(pairs), members
 
 
+def _roots_in_block(least: float):
+    """(id, root, n): for each row with a link in the block, the smallest row it is connected with there, and its links."""
+
+    def run(table):
+        import numpy as np
+        import pyarrow as pa
+
+        left = table.column("left").to_numpy(zero_copy_only=False).astype(bool)
+        ids, x = table.column("id").to_numpy(), _unit_rows(_stack(table.column("v")))
+        a, b = np.flatnonzero(left), np.flatnonzero(~left)
+        own = table.column("i")[0] == table.column("j")[0]  # a block with itself
+        b = a if own else b
+        names, where = np.unique(ids, return_inverse=True)
+        root, n = np.arange(len(names)), np.zeros(len(names), np.int64)
+        for lo in range(0, len(a), 512):
+            part = a[lo : lo + 512]
+            s = x[part] @ x[b].T
+            i, j = np.nonzero(s >= least - 1e-9)
+            good = np.round(s[i, j], 10) >= least
+            p, q = where[part[i[good]]], where[b[j[good]]]
+            p, q = p[p != q], q[p != q]
+            n += np.bincount(p, minlength=len(n))
+            if not own:
+                n += np.bincount(q, minlength=len(n))
+            while True:
+                m = np.minimum(root[p], root[q])
+                new = root.copy()
+                np.minimum.at(new, root[p], m)
+                np.minimum.at(new, root[q], m)
+                new = new[new]
+                if (new == root).all():
+                    break
+                root = new
+        while (root[root] != root).any():
+            root = root[root]
+        k = np.flatnonzero(n)
+        return pa.table({"id": pa.array(names[k], pa.int64()), "root": pa.array(names[root[k]], pa.int64()), "n": pa.array(n[k], pa.int64())})
+
+    return run
+
+
+def linked_classes(vectors: DataFrame, least: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Pairs (a, b) that connect the same classes as all links of at least so much do, members (id, rep)
+    and links per class (rep, n_links).
+
+    For thresholds at which cells rule nothing out: each pair is compared once, in a grid of blocks, and
+    a block gives one row per class instead of its links.
+    """
+    reps = cut(vectors.groupBy("v").agg(F.min("id").alias("id")).select("id", "v"))
+    members = vectors.join(reps.withColumnRenamed("id", "rep"), "v").select("id", "rep")
+    parts = max(1, -(-reps.count() // (4 * BLOCK)))
+    block = F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int")
+    other = F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("o")
+    each = reps.select("id", "v", block.alias("p"), other)
+    sides = each.select("id", "v", (F.col("p") <= F.col("o")).alias("left"), F.least("p", "o").alias("i"), F.greatest("p", "o").alias("j"))
+    found = cut(sides.groupBy("i", "j").applyInArrow(_roots_in_block(least), "id bigint, root bigint, n bigint"))
+    pairs = found.where("id <> root").select(F.col("root").alias("a"), F.col("id").alias("b")).distinct()
+    return pairs, members, found.groupBy(F.col("id").alias("rep")).agg(F.sum("n").alias("n_links"))
+
+
 def clusters(vectors: DataFrame, least: float) -> DataFrame:
     """(id, label, n_links) of each vector: density clusters with two points at least, label null if alone.
 
     With two points enough, each vector with a link is a core point, and clusters are the connected
     components of the links.  n_links counts links to other classes of copies.
     """
-    pairs, members = similar_classes(vectors, least)
+    if 2 * math.acos(max(-1.0, min(1.0, least))) > math.pi / 2:
+        pairs, members, ends = linked_classes(vectors, least)
+    else:
+        pairs, members = similar_classes(vectors, least)
+        ends = pairs.select(F.col("a").alias("rep")).unionByName(pairs.select(F.col("b").alias("rep"))).groupBy("rep").agg(F.count("*").alias("n_links"))
     reps = members.select(F.col("rep").alias("node")).distinct()
     label = components(pairs, reps)
-    ends = pairs.select(F.col("a").alias("rep")).unionByName(pairs.select(F.col("b").alias("rep"))).groupBy("rep").agg(F.count("*").alias("n_links"))
     size = members.groupBy("rep").agg(F.count("*").alias("copies"))
     each = members.join(size, "rep").join(ends, "rep", "left").join(label.withColumnRenamed("node", "rep"), "rep")
     alone = F.col("n_links").isNull() & (F.col("copies") == 1)

@@ -343,6 +343,12 @@ def similarity_clusters(spark: SparkSession, d: str) -> DataFrame:
     return vectors.clusters(_embeddings(spark, d), 0.98).select("id", F.coalesce("label", F.lit(-1).cast("bigint")).alias("label"))
 
 
+@query()
+def density_clusters(spark: SparkSession, d: str) -> DataFrame:
+    """As similarity_clusters, within a cosine of 0.7 (eps 0.3, as the reference)."""
+    return vectors.clusters(_embeddings(spark, d), 0.7).select("id", F.coalesce("label", F.lit(-1).cast("bigint")).alias("label"))
+
+
 @query(
     """WITH v AS (SELECT DISTINCT ON (embedding_id) embedding_id, file_path AS file, CAST(embedding AS DOUBLE[]) AS v FROM semantic_embeddings
 WHERE file_path IS NOT NULL AND len(embedding) = 64 AND list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x))) AND list_bool_or(list_transform(embedding, lambda x: x <> 0)) ORDER BY embedding_id),

@@ -156,9 +156,9 @@ def semantic_calls(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def cluster_centroids(spark: SparkSession, d: str) -> DataFrame:
-    """Clusters of vectors with their size and how close members are to the centroid."""
+    """Clusters of vectors within a cosine of 0.7 with their size and how close members are to the centroid."""
     v = _embeddings(spark, d)
-    return vectors.centroids(v, vectors.clusters(v, 0.98)).select("label", "n", F.round("confidence", 6).alias("confidence"))
+    return vectors.centroids(v, vectors.clusters(v, 0.7)).select("label", "n", F.round("confidence", 6).alias("confidence"))
 
 
 @query("SELECT type, count(*) AS n, CASE type WHEN 'imports' THEN 'blue' WHEN 'calls' THEN 'green' WHEN 'renders' THEN 'purple' WHEN 'uses' THEN 'orange' WHEN 'depends_on' THEN 'red' ELSE 'grey' END AS colour FROM links_now GROUP BY 1", "links_now")
