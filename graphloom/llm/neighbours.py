@@ -446,13 +446,25 @@ def searched(embeddings: DataFrame, queries: DataFrame, k: int = 10) -> DataFram
     """
     raw = spill_table(usable(embeddings), "vectors")
     asked = spill_table(usable(queries), "queries")
-    vectors = spill_table(raw.mapInArrow(_quantise, "id bigint, q binary"), "quantised")
-    hits = search(neighbour_graph(vectors), vectors, asked.mapInArrow(_quantise, "id bigint, q binary")).where("query <> b")
-    far = hits.select(F.col("query").alias("a"), "b").join(raw.select(F.col("id").alias("b"), "raw"), "b")
+    # classes of equal vectors, named by their smallest id; the graph holds one node of each
+    reps = spill_table(raw.groupBy("raw").agg(F.min("id").alias("id")).select("id", "raw"), "classes")
+    members = raw.join(reps.withColumnRenamed("id", "rep"), "raw").select("rep", "id")
+    salted = Window.partitionBy("rep", F.pmod(F.xxhash64("id"), F.lit(64))).orderBy("id")
+    first = members.withColumn("i", F.row_number().over(salted)).where(F.col("i") <= k + 1)
+    first = first.withColumn("i", F.row_number().over(Window.partitionBy("rep").orderBy("id"))).where(F.col("i") <= k + 1).select("rep", "id")
+    first = spill_table(first, "first")
+    vectors = spill_table(reps.mapInArrow(_quantise, "id bigint, q binary"), "quantised")
+    hits = search(neighbour_graph(vectors), vectors, asked.mapInArrow(_quantise, "id bigint, q binary"))
+    # the class of the query itself counts, whether the walk met it or not
+    own = asked.join(reps.withColumnRenamed("id", "b"), "raw").select(F.col("id").alias("a"), "b")
+    hits = hits.select(F.col("query").alias("a"), "b").unionByName(own).distinct()
+    far = hits.join(reps.select(F.col("id").alias("b"), "raw"), "b")
     both = far.join(asked.select(F.col("id").alias("a"), F.col("raw").alias("own")), "a").select("a", "b", "raw", "own")
-    best = both.repartition("a").sortWithinPartitions("a").mapInArrow(_ranks(k), "a bigint, b bigint, r double")
-    rank = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("r"), "b"))
-    return best.select(F.col("a").alias("query_id"), F.col("b").alias("other_id"), rank.alias("rank"))
+    best = both.repartition("a").sortWithinPartitions("a").mapInArrow(_ranks(k + 1), "a bigint, b bigint, r double")
+    # a class brings its smallest ids
+    each = best.join(first.select(F.col("rep").alias("b"), F.col("id").alias("other")), "b").where("other <> a")
+    rank = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("r"), "other"))
+    return each.withColumn("rank", rank).where(F.col("rank") <= k).select(F.col("a").alias("query_id"), F.col("other").alias("other_id"), "rank")
 
 
 # exact ranks
