@@ -80,7 +80,8 @@ def train_type_classifier(labelled: DataFrame, label: str, vector: str, trees: i
     forest = RandomForestClassifier(featuresCol="_v", labelCol="_l", numTrees=trees, seed=seed)
     back = IndexToString(inputCol="prediction", outputCol="predicted", labels=indexer.labels)
     model = Pipeline(stages=[indexer, forest, back]).fit(rows)
-    forest_model, names = model.stages[1], model.stages[2]
+    # a copy has no training summary, which holds the session and cannot be sent to executors
+    forest_model, names = model.stages[1].copy(), model.stages[2]
 
     def predict(df: DataFrame) -> DataFrame:
         scored = names.transform(forest_model.transform(df.withColumn("_v", array_to_vector(vector))))

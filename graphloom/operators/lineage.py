@@ -33,41 +33,21 @@ def chain(flows: DataFrame, source: str, target: str, max_length: int) -> DataFr
     return paths(flows, source, target, max_length)
 
 
-def longest(flows: DataFrame, seed: str, max_length: int) -> int:
-    """Steps of the longest simple path from a seed to a node without successors; else the number it reaches."""
-    step = flows.select("src", "dst").distinct()
-    leaves = step.select(F.col("dst").alias("n")).distinct().join(step.select(F.col("src").alias("n")), "n", "left_anti")
-    walk = step.where(F.col("src") == seed).select(F.array("src", "dst").alias("path"), F.col("dst").alias("end"))
-    best = 0
-    for length in range(1, max_length + 1):
-        if walk.join(leaves, walk["end"] == leaves["n"], "left_semi").head(1):
-            best = length
-        on = walk.join(step, F.col("end") == step["src"]).where(~F.array_contains("path", F.col("dst")))
-        walk = on.select(F.array_append("path", F.col("dst")).alias("path"), F.col("dst").alias("end"))
-    if best:
-        return best
-    return reachable(flows, flows.sparkSession.range(1).select(F.lit(seed).alias("seed"))).where(F.col("node") != seed).count()
-
-
-def tree(flows: DataFrame, root: str, max_depth: int = 3) -> str:
-    """The dependency tree of one component as indented text; deeper parts are cut off with dots.
-
-    Only what stands in the tree comes to the driver: its depth is bounded and it is for reading.
-    """
+def tree(flows: DataFrame, root: str, max_depth: int = 3) -> DataFrame:
+    """(path, line): the dependency tree of one component as indented text, in the order of path; where the
+    depth asked for cuts off further parts, the line ends with dots."""
     step = flows.select("src", "dst").distinct()
     level = flows.sparkSession.range(1).select(F.array(F.lit(root)).alias("path"))
-    rows: list[list[str]] = [[root]]
-    for depth in range(max_depth + 1):
+    found = level
+    for _ in range(max_depth):
         on = level.join(step, F.element_at("path", -1) == step["src"]).where(~F.array_contains("path", F.col("dst")))
         level = on.select(F.array_append("path", F.col("dst")).alias("path"))
-        if depth == max_depth:
-            cut = {tuple(r.path[:-1]) for r in level.select("path").distinct().toLocalIterator()}
-            break
-        rows += [r.path for r in level.toLocalIterator()]
-    out = []
-    for path in sorted(rows):
-        out.append("  " * (len(path) - 1) + path[-1] + (" [...]" if tuple(path) in cut else ""))
-    return "\n".join(out)
+        found = found.unionByName(level)
+    after = step.groupBy(F.col("src").alias("last")).agg(F.collect_set("dst").alias("next"))
+    rows = found.withColumn("last", F.element_at("path", -1)).join(after, "last", "left")
+    more = (F.size("path") == max_depth + 1) & F.coalesce(F.exists("next", lambda x: ~F.array_contains("path", x)), F.lit(False))
+    line = F.concat(F.repeat(F.lit("  "), F.size("path") - 1), "last", F.when(more, " [...]").otherwise(""))
+    return rows.select("path", line.alias("line")).withColumn("path", F.array_join("path", ">"))
 
 
 def elapsed(events: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators import lineage, modules
-from .plans.graph_tables import all_links, links_now, nodes_now, project_graph, sql
+from .plans.graph_tables import all_links, links_now, nodes_now, project_graph, project_heads, sql
 from .queries_code import _FILES, _files
 from .sources import exports
 from .tables import table
@@ -49,39 +49,34 @@ def commonjs_requires(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    """WITH RECURSIVE u AS (SELECT dst AS seed, src AS node FROM project_graph UNION SELECT u.seed, p.src FROM u JOIN project_graph p ON p.dst = u.node),
-o AS (SELECT seed, node FROM u UNION SELECT src, src FROM project_graph UNION SELECT dst, dst FROM project_graph)
-SELECT seed, node FROM o WHERE node NOT IN (SELECT dst FROM project_graph)""",
-    "project_graph",
+    """WITH RECURSIVE u AS (SELECT seed, seed AS node FROM targets_of_projects UNION SELECT u.seed, p.src FROM u JOIN all_links p ON p.dst = u.node)
+SELECT seed, node FROM u WHERE node NOT IN (SELECT dst FROM all_links)""",
+    "targets_of_projects",
 )
 def data_origins(spark: SparkSession, d: str) -> DataFrame:
-    p = project_graph(spark, d).select("src", "dst")
-    seeds = p.select(F.col("src").alias("seed")).unionByName(p.select(F.col("dst").alias("seed"))).distinct()
-    return lineage.origins(p, seeds)
+    """Where the data of the most used node of each project comes from."""
+    return lineage.origins(all_links(spark, d), project_heads(spark, d, "dst"))
 
 
 @query(
-    """WITH RECURSIVE u AS (SELECT src AS seed, dst AS node FROM project_graph UNION SELECT u.seed, p.dst FROM u JOIN project_graph p ON p.src = u.node)
+    """WITH RECURSIVE u AS (SELECT seed, dst AS node FROM sources_of_projects JOIN all_links ON src = seed UNION SELECT u.seed, p.dst FROM u JOIN all_links p ON p.src = u.node)
 SELECT seed, count(*) AS n FROM u GROUP BY 1""",
-    "project_graph",
+    "sources_of_projects",
 )
 def data_consumers(spark: SparkSession, d: str) -> DataFrame:
-    p = project_graph(spark, d).select("src", "dst")
-    return lineage.consumers(p, p.select(F.col("src").alias("seed")).distinct()).groupBy("seed").agg(F.count("*").alias("n"))
-
-
-@query()
-def node_origins(spark: SparkSession, d: str) -> DataFrame:
-    """As data_origins, over all links of the node graph."""
-    e = all_links(spark, d)
-    return lineage.origins(e, e.select(F.explode(F.array("src", "dst")).alias("seed")).distinct())
+    """How many nodes the data of the node with most links of each project flows into."""
+    return lineage.consumers(all_links(spark, d), project_heads(spark, d, "src")).groupBy("seed").agg(F.count("*").alias("n"))
 
 
-@query()
-def node_consumers(spark: SparkSession, d: str) -> DataFrame:
-    """As data_consumers, over all links of the node graph."""
-    e = all_links(spark, d)
-    return lineage.consumers(e, e.select(F.col("src").alias("seed")).distinct()).groupBy("seed").agg(F.count("*").alias("n"))
+@query(
+    """WITH RECURSIVE w AS (SELECT 'lumen-weave' AS path, 'lumen-weave' AS last, ['lumen-weave'] AS seen UNION ALL
+SELECT w.path || '>' || p.dst, p.dst, list_append(seen, p.dst) FROM w JOIN project_graph p ON p.src = w.last WHERE len(seen) <= 2 AND NOT list_contains(seen, p.dst))
+SELECT path, repeat('  ', CAST(len(seen) - 1 AS INT)) || last || CASE WHEN len(seen) = 3 AND EXISTS (SELECT 1 FROM project_graph p WHERE p.src = w.last AND NOT list_contains(w.seen, p.dst)) THEN ' [...]' ELSE '' END AS line FROM w""",
+    "project_graph",
+)
+def dependency_tree(spark: SparkSession, d: str) -> DataFrame:
+    """The dependency tree of one project, two levels deep, as indented lines."""
+    return lineage.tree(project_graph(spark, d), "lumen-weave", 2)
 
 
 @query(

@@ -9,7 +9,8 @@ from pyspark.sql.window import Window
 from .functions import exprs
 from .operators import query as api
 from .operators import scoring, traversal, validation
-from .plans.graph_tables import C4_LEVELS, EDGE_TYPES, NODE_TYPES, all_links, edges_now, entities, links_now, nodes_now, project_graph, sql
+from .plans.graph_tables import C4_LEVELS, EDGE_TYPES, NODE_TYPES, all_links, edges_now, entities, links_now, nodes_now, project_graph, project_heads, sql
+from .session import spill_table
 from .tables import table
 
 QUERIES: dict = {}
@@ -483,30 +484,38 @@ def folder_layout(spark: SparkSession, d: str) -> DataFrame:
     f = nodes_now(spark, d).where(F.contains("file", F.lit("/"))).select("id", "ord", F.regexp_extract("file", "^(.*)/[^/]*$", 1).alias("folder"), k.alias("k"))
     p = f.withColumn("i", F.row_number().over(Window.partitionBy("folder").orderBy("k", "ord")) - 1).select("id", "folder", "i")
     w = p.groupBy("folder").agg(F.greatest(F.lit(280), (F.floor(F.max("i") / 6) + 1) * 220).alias("width"))
-    ranged = w.withColumn("part", F.substring("folder", 1, 12))
+    # sorted once over all tasks; each then sums its own range, behind the totals of the ranges before it
+    ranged = spill_table(w.repartitionByRange("folder").sortWithinPartitions("folder").withColumn("part", F.spark_partition_id()), "folders")
     parts = ranged.groupBy("part").agg(F.sum(F.col("width") + 60).alias("total"))
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = parts.select("part", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("start"))
+    earlier = parts.select(F.array_agg(F.struct("part", "total")).alias("l"))  # one entry per task of the sort
     inside = Window.partitionBy("part").orderBy("folder").rowsBetween(Window.unboundedPreceding, -1)
-    x = ranged.join(starts, "part").select("folder", (F.col("start") + F.coalesce(F.sum(F.col("width") + 60).over(inside), F.lit(0))).alias("x0"))
+    start = F.aggregate(F.filter("l", lambda p: p["part"] < F.col("part")), F.lit(0).cast("bigint"), lambda a, p: a + p["total"])
+    x = ranged.crossJoin(F.broadcast(earlier)).select("folder", (start + F.coalesce(F.sum(F.col("width") + 60).over(inside), F.lit(0))).alias("x0"))
     return p.join(x, "folder").select("id", (F.col("x0") + F.floor(F.col("i") / 6) * 220).cast("bigint").alias("x"), ((F.col("i") % 6) * 65).cast("bigint").alias("y"))
 
 
-# traversal, over the graph of projects and over imports
+# traversal, over all links
 
 
-def _pairs(spark: SparkSession, d: str) -> DataFrame:
-    return project_graph(spark, d).select("src", "dst")
+@query(
+    """WITH RECURSIVE r AS (SELECT seed, dst AS node FROM sources_of_projects JOIN all_links ON src = seed UNION SELECT r.seed, p.dst FROM r JOIN all_links p ON p.src = r.node)
+SELECT seed, node FROM r""",
+    "sources_of_projects",
+)
+def transitive_dependencies(spark: SparkSession, d: str) -> DataFrame:
+    """All that the node with most links of each project depends on, directly or through others."""
+    return traversal.reachable(all_links(spark, d), project_heads(spark, d, "src")).select("seed", "node")
 
 
 @query(
-    """WITH RECURSIVE r AS (SELECT src AS seed, dst AS node FROM project_graph UNION SELECT r.seed, p.dst FROM r JOIN project_graph p ON p.src = r.node)
+    """WITH RECURSIVE r AS (SELECT seed, src AS node FROM targets_of_projects JOIN all_links ON dst = seed UNION SELECT r.seed, p.src FROM r JOIN all_links p ON p.dst = r.node)
 SELECT seed, node FROM r""",
-    "project_graph",
+    "targets_of_projects",
 )
-def transitive_dependencies(spark: SparkSession, d: str) -> DataFrame:
-    e = _pairs(spark, d)
-    return traversal.reachable(e, e.select(F.col("src").alias("seed")).distinct()).select("seed", "node")
+def transitive_users(spark: SparkSession, d: str) -> DataFrame:
+    """All that depends on the most used node of each project."""
+    e = all_links(spark, d).select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    return traversal.reachable(e, project_heads(spark, d, "dst")).select("seed", "node")
 
 
 @query(
@@ -521,75 +530,55 @@ def transitive_dependents(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    """WITH RECURSIVE w AS (SELECT src, dst, [src, dst] AS path FROM project_graph UNION ALL SELECT w.src, p.dst, list_append(path, p.dst) FROM w JOIN project_graph p ON p.src = w.dst
-WHERE NOT list_contains(path, p.dst) AND len(path) <= 4)
-SELECT array_to_string(path, '>') AS path, len(path) - 1 AS length FROM w WHERE src = 'lumen-weave' AND dst = 'lumen-ledger'""",
+    """WITH RECURSIVE w AS (SELECT src, dst, [src, dst] AS path FROM project_graph WHERE src = 'lumen-weave' UNION ALL SELECT w.src, p.dst, list_append(path, p.dst) FROM w JOIN project_graph p ON p.src = w.dst
+WHERE w.dst <> 'lumen-ledger' AND NOT list_contains(path, p.dst) AND len(path) <= 4)
+SELECT array_to_string(path, '>') AS path, len(path) - 1 AS length FROM w WHERE dst = 'lumen-ledger'""",
     "project_graph",
 )
 def dependency_paths(spark: SparkSession, d: str) -> DataFrame:
-    found = traversal.paths(_pairs(spark, d), "lumen-weave", "lumen-ledger", 4)
+    """The simple paths of at most four steps from one project to another."""
+    found = traversal.paths(project_graph(spark, d), "lumen-weave", "lumen-ledger", 4)
     return found.select(F.array_join("path", ">").alias("path"), F.col("length").cast("bigint").alias("length"))
 
 
 @query(
-    """WITH RECURSIVE w AS (SELECT src AS first, dst, [src] AS path FROM project_graph WHERE src <= dst
-UNION ALL SELECT w.first, p.dst, list_append(path, w.dst) FROM w JOIN project_graph p ON p.src = w.dst WHERE w.dst <> w.first AND p.dst >= w.first AND (p.dst = w.first OR NOT list_contains(path, p.dst)) AND len(path) < 5)
-SELECT array_to_string(path, '>') AS path, CAST(len(path) AS BIGINT) AS length, CASE WHEN len(path) = 2 THEN 'critical' WHEN len(path) <= 4 THEN 'warning' ELSE 'info' END AS severity FROM w WHERE dst = first""",
-    "project_graph",
+    """WITH RECURSIVE b AS (SELECT label AS seed, label AS node, 0 AS depth FROM rings WHERE node = label
+  UNION SELECT b.seed, p.dst, depth + 1 FROM b JOIN all_links p ON p.src = b.node JOIN rings g ON g.node = p.dst AND g.label = b.seed WHERE depth < 12),
+s AS (SELECT seed AS label, min(depth) AS length FROM b WHERE node = seed AND depth > 0 GROUP BY 1)
+SELECT label, count(*) AS n_nodes, CAST(any_value(length) AS INT) AS length, CASE WHEN any_value(length) = 2 THEN 'critical' WHEN any_value(length) <= 4 THEN 'warning' ELSE 'info' END AS severity
+FROM rings JOIN s USING (label) GROUP BY 1""",
+    "rings",
 )
 def circular_dependencies(spark: SparkSession, d: str) -> DataFrame:
-    c = traversal.cycles(_pairs(spark, d), 5)
-    return c.select(F.array_join("path", ">").alias("path"), F.col("length").cast("bigint").alias("length"), "severity")
+    """The groups of nodes that depend on each other in a circle, and the shortest circle through the smallest of each."""
+    return traversal.cycles(all_links(spark, d))
 
 
-@query(
-    """WITH RECURSIVE r AS (SELECT src AS seed, dst AS node FROM project_graph UNION SELECT r.seed, p.dst FROM r JOIN project_graph p ON p.src = r.node)
-SELECT DISTINCT seed AS node FROM r WHERE seed = node""",
-    "project_graph",
-)
+@query("SELECT a.src AS a, a.dst AS b FROM all_links a JOIN all_links b ON a.src = b.dst AND a.dst = b.src WHERE a.src < a.dst", "all_links")
+def mutual_dependencies(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs that depend on each other directly."""
+    return traversal.mutual(all_links(spark, d))
+
+
+@query("SELECT node, label FROM rings", "rings")
 def nodes_on_cycles(spark: SparkSession, d: str) -> DataFrame:
-    return traversal.on_cycles(_pairs(spark, d))
+    """Nodes on cycles of whatever length, with the smallest node of those that reach each other."""
+    return traversal.strong_components(all_links(spark, d))
 
 
 @query(
-    """WITH RECURSIVE r AS (SELECT src AS seed, dst AS node, 1 AS depth FROM project_graph UNION SELECT r.seed, p.dst, r.depth + 1 FROM r JOIN project_graph p ON p.src = r.node WHERE depth < 48)
-SELECT seed AS node, CAST(max(d) AS INT) AS depth FROM (SELECT seed, node, min(depth) AS d FROM r GROUP BY 1, 2) GROUP BY 1""",
-    "project_graph",
+    """WITH RECURSIVE v AS (SELECT src AS node FROM all_links UNION SELECT dst FROM all_links),
+c AS MATERIALIZED (SELECT v.node, coalesce(g.label, v.node) AS c FROM v LEFT JOIN rings g USING (node)),
+dag AS MATERIALIZED (SELECT DISTINCT a.c AS s, b.c AS t FROM all_links l JOIN c a ON a.node = l.src JOIN c b ON b.node = l.dst WHERE a.c <> b.c),
+up AS (SELECT node AS c, 0 AS depth FROM v WHERE node NOT IN (SELECT src FROM all_links) UNION SELECT dag.s, depth + 1 FROM up JOIN dag ON dag.t = up.c),
+far AS (SELECT c, max(depth) AS depth FROM up GROUP BY 1),
+n AS (SELECT seed AS node, count(*) AS k FROM reach WHERE seed <> node GROUP BY 1)
+SELECT c.node, CAST(coalesce(far.depth, n.k, 0) AS BIGINT) AS depth FROM c LEFT JOIN far ON far.c = c.c LEFT JOIN n ON n.node = c.node""",
+    "rings",
 )
 def dependency_depth(spark: SparkSession, d: str) -> DataFrame:
-    """How far the farthest dependency of each project is away."""
-    e = _pairs(spark, d)
-    return traversal.reachable(e, e.select(F.col("src").alias("seed")).distinct()).groupBy(F.col("seed").alias("node")).agg(F.max("depth").alias("depth"))
-
-
-# the same over all links of the node graph, which no SQL walks in time
-
-
-@query()
-def node_dependencies(spark: SparkSession, d: str) -> DataFrame:
-    """All that each node depends on, directly or through others."""
-    e = all_links(spark, d)
-    return traversal.reachable(e, e.select(F.col("src").alias("seed")).distinct()).select("seed", "node")
-
-
-@query()
-def node_depth(spark: SparkSession, d: str) -> DataFrame:
-    """How far the farthest dependency of each node is away."""
-    e = all_links(spark, d)
-    return traversal.reachable(e, e.select(F.col("src").alias("seed")).distinct()).groupBy(F.col("seed").alias("node")).agg(F.max("depth").alias("depth"))
-
-
-@query()
-def node_cycles(spark: SparkSession, d: str) -> DataFrame:
-    """Nodes on cycles of whatever length, with the smallest node of the circle of nodes that reach each other."""
-    return traversal.strong_components(all_links(spark, d))
-
-
-@query()
-def project_paths(spark: SparkSession, d: str) -> DataFrame:
-    """As dependency_paths, over all pairs of projects."""
-    found = traversal.paths(project_graph(spark, d, top=None).select("src", "dst"), "lumen-weave", "lumen-ledger", 4)
-    return found.select(F.array_join("path", ">").alias("path"), F.col("length").cast("bigint").alias("length"))
+    """The longest way from each node to one that depends on nothing."""
+    return traversal.depths(all_links(spark, d))
 
 
 @query("SELECT source AS node, CAST(count(DISTINCT target) AS BIGINT) AS n, array_to_string(list_sort(list(DISTINCT target)), ',') AS providers FROM links_now WHERE type = 'depends_on' GROUP BY 1", "links_now")

@@ -10,7 +10,8 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(cpus: int | str = "*", shuffle_partitions: int = 8) -> SparkSession:
@@ -43,10 +44,12 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; one of our own only where the cluster names none."""
+    """The folder of spark.checkpoint.dir; one of our own only on a local master that names none."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     own = spark.conf.get("graphloom.checkpoint.dir", None)
     if not own:
         folder = tempfile.mkdtemp(prefix="graphloom-checkpoint-")
@@ -71,5 +74,20 @@ def spill_table(df: DataFrame, name: str) -> DataFrame:
     Columnar and compressed, hence smaller than a checkpoint; also cuts the lineage.
     """
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    _drop_at_end(df.sparkSession, path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spill_counted(df: DataFrame, name: str, condition: Column) -> tuple[DataFrame, int]:
+    """The same, and how many rows meet a condition, counted while they are written."""
+    seen = Observation()
+    kept = spill_table(df.observe(seen, F.count_if(condition).alias("n")), name)
+    return kept, seen.get["n"]
+
+
+def _drop_at_end(spark: SparkSession, path: str) -> None:
+    """Results read these tables lazily, so they go when the driver ends."""
+    jvm = spark._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)

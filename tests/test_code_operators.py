@@ -2,7 +2,7 @@ import datetime as dt
 import json
 
 import pytest
-from graphloom.operators import features, inference, lineage, modules, scoring, symbols, vectors, views
+from graphloom.operators import features, inference, lineage, modules, scoring, symbols, traversal, vectors, views
 from graphloom.sources import exports, projects
 from pyspark.sql import functions as F
 
@@ -77,9 +77,9 @@ def test_lineage(spark):
     seeds = spark.createDataFrame([("c",), ("x",), ("a",)], "seed string")
     assert {(r.seed, r.node) for r in lineage.origins(flows, seeds).collect()} == {("c", "a"), ("c", "z"), ("a", "a")}
     assert {r.node for r in lineage.consumers(flows, seeds.where("seed = 'a'")).collect()} == {"b", "c", "d"}
-    assert lineage.longest(flows, "a", 5) == 3 and lineage.longest(flows, "x", 5) == 1
+    assert {r.node: r.depth for r in traversal.depths(flows).collect()} == {"a": 3, "b": 2, "c": 1, "d": 0, "z": 2, "x": 1, "y": 1}
     assert [r.path for r in lineage.chain(flows, "a", "d", 5).collect()] == [["a", "b", "c", "d"]]
-    assert lineage.tree(flows, "a", 2) == "a\n  b\n    c [...]"
+    assert sorted(map(tuple, lineage.tree(flows, "a", 2).collect())) == [("a", "a"), ("a>b", "  b"), ("a>b>c", "    c [...]")]
     t = dt.datetime(2026, 1, 1)
     e = spark.createDataFrame([("k", "op", "start", t), ("k", "op", "end", t + dt.timedelta(seconds=2)), ("k", "op", "end", t + dt.timedelta(seconds=3)), ("q", "op", "end", t)], "key string, operation string, kind string, ts timestamp_ntz")
     assert [(r.key, r.micros) for r in lineage.elapsed(e).collect()] == [("k", 2_000_000)]

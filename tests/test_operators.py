@@ -39,7 +39,7 @@ def test_reachable(spark, links):
 def test_paths_and_cycles(links):
     assert {tuple(r.path) for r in traversal.paths(links, "y", "e", 5).collect()} == {tuple("yabcde")}
     assert traversal.paths(links, "y", "e", 4).count() == 0
-    assert {(tuple(r.path), r.severity) for r in traversal.cycles(links, 4).collect()} == {(tuple("abc"), "warning"), (("x",), "warning")}
+    assert {tuple(r) for r in traversal.cycles(links).collect()} == {("a", 3, 3, "warning"), ("x", 1, 1, "warning")}
     assert {r.node for r in traversal.on_cycles(links).collect()} == set("abcx")
 
 
