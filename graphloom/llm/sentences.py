@@ -1,9 +1,10 @@
 """Sentences of texts in many languages and scripts (problem 10).
 
-A pushdown automaton reads each text once.  Lines first group into blocks: headings, fenced
-blocks, list items and paragraphs; the levels of a list are its items' own blocks.  Within a block
-the automaton stops only at terminators, quotation marks and brackets.  Its stack holds the open
-quotations and brackets; a terminator ends a sentence only while the stack is empty.  A full stop
+A pushdown automaton reads each text once.  Lines group into blocks: headings, fenced blocks, list
+items and paragraphs; within a block the automaton stops only at terminators, quotation marks and
+brackets.  Its one stack holds the levels of the list it is in and above them the open quotations
+and brackets of the block; a terminator ends a sentence only while no mark is open, which is known
+when the block ends.  Time grows with the length of a text, whatever marks it holds.  A full stop
 is looked up backwards in a trie of abbreviations, in which some never end a sentence and some end
 one if the next word can begin one.  Scripts without spaces end sentences at their own
 terminators, Greek also at its question mark, Thai at white space.  Opening marks that are not
@@ -64,6 +65,8 @@ _HEADING = re.compile(r"[ \t]{0,3}#{1,6}(?:[ \t]|$)")
 _BULLET = re.compile(r"[ \t]*(?:[-*+•‣]|\(?\d{1,9}[.)]|[a-z][)])[ \t]+(?=\S)")
 _ORDERED = re.compile(r"[ \t]*\(?(\d{1,9})[.)]")
 _CODE = re.compile(r"[\w$]+(?:\.[\w$]+)*(?:\(\))?")
+#: A unit behind a number is no abbreviation.
+_UNIT = re.compile(r"\d[ \xa0][smhg]\Z")
 _SPACE = re.compile(r"\s*")
 _LINE = re.compile(r"[^\n\r\u2028\u2029\x85]*(?:\r\n|[\n\r\u2028\u2029\x85]|$)")
 
@@ -122,75 +125,123 @@ def abbreviation(text: str, dot: int, begin: int) -> str | None:
     return kind
 
 
-def blocks(text: str) -> Iterator[tuple[int, int, bool]]:
-    """(start, end, whole) of each block; a whole block is one unit."""
-    pos, n = 0, len(text)
-    start: int | None = None
-    end = 0
-    in_list = False
-    fence: str | None = None
-    while pos < n:
-        m = _LINE.match(text, pos)
-        stop = m.end()
-        line = text[pos:stop]
-        if fence is not None:
-            end = stop
-            if line.strip().startswith(fence) and not line.strip().strip(fence[0]):
-                yield start, end, True
-                start, fence = None, None
-        elif not line.strip():
-            if start is not None:
-                yield start, end, False
-            start, in_list = None, False
-        elif f := _FENCE.match(line):
-            if start is not None:
-                yield start, end, False
-            start, end, fence, in_list = pos, stop, f.group(1), False
-        elif _HEADING.match(line):
-            if start is not None:
-                yield start, end, False
-            yield pos, stop, True
-            start, in_list = None, False
-        elif _BULLET.match(line) and (start is None or in_list or not (o := _ORDERED.match(line)) or o.group(1) == "1"):
-            if start is not None:
-                yield start, end, False
-            start, end, in_list = pos, stop, True
-        else:
-            if start is None:
-                start = pos
-            end = stop
-        pos = stop
-    if start is not None:
-        yield start, end, fence is not None
-
-
-def _pairs(text: str, stops: list, begin: int) -> dict[int, int]:
-    """Where each quotation or bracket of a block closes."""
-    open_: list[tuple[str, int]] = []
-    found: dict[int, int] = {}
-    for m in stops:
-        c = m.group()
+class _Automaton:
+    """The pushdown automaton: one stack of list levels and, above them, of open quotations and brackets."""
+
+    def __init__(self, text: str):
+        self.text = text
+        self.levels: list[tuple[int, bool]] = []  # bottom of the stack: indent and kind of each list level
+        self.marks: list[tuple[str, int]] = []  # top of the stack: character and place
+        self.by_closer: dict[str, list[int]] = {}  # heights of the marks that a character closes
+        self.start: int | None = None  # of the open block
+        self.end = 0
+        self.stops: list = []
+        self.pairs: dict[int, int] = {}
+
+    def open(self, start: int, end: int) -> None:
+        self.start, self.end = start, end
+
+    def close(self, whole: bool = False) -> Iterator[tuple[int, int]]:
+        """The sentences of the block that ends here; marks left open in it are ordinary characters."""
+        if self.start is not None:
+            yield from [(self.start, self.end)] if whole else _cut(self.text, self.start, self.end, self.stops, self.pairs)
+        self.start, self.stops, self.pairs, self.marks, self.by_closer = None, [], {}, [], {}
+
+    def push(self, c: str, i: int) -> None:
+        for closer in _closers(c):
+            self.by_closer.setdefault(closer, []).append(len(self.marks))
+        self.marks.append((c, i))
+
+    def pop_to(self, height: int) -> None:
+        while len(self.marks) > height:
+            c, _ = self.marks.pop()
+            for closer in _closers(c):
+                if (held := self.by_closer[closer]) and held[-1] == len(self.marks):
+                    held.pop()
+
+    def read(self, m: re.Match) -> None:
+        """One terminator, quotation mark, bracket or white space of Thai."""
+        self.stops.append(m)
+        c, i, text = m.group(), m.start(), self.text
         if len(c) != 1:
-            continue
-        i = m.start()
-        top = next((k for k in range(len(open_) - 1, -1, -1) if _closes(open_[k][0], c)), None)
-        if c == '"' and top is not None and (i == begin or text[i - 1].isspace() or text[i - 1] in "([{（「"):
+            return
+        held = self.by_closer.get(c)
+        top = held[-1] if held else None
+        if c == '"' and top is not None and (i == self.start or text[i - 1].isspace() or text[i - 1] in "([{（「"):
             # behind white space it opens, unless one is open and nothing follows it
             if i + 1 < len(text) and not text[i + 1].isspace():
                 top = None
-                open_ = [x for x in open_ if x[0] != '"']
+                held.clear()
         if top is not None:
-            found[open_[top][1]] = i
-            del open_[top:]
+            self.pairs[self.marks[top][1]] = i
+            self.pop_to(top)
         elif c in CLOSE or c in QUOTES:
-            open_.append((c, i))
-    return found
+            self.push(c, i)
+
+    def item(self, line: str) -> bool:
+        """Is the line an item of a list?  A number begins a list only as 1 or where no paragraph is open; it goes on with an open level."""
+        mark = _BULLET.match(line)
+        if mark is None:
+            return False
+        ordered = _ORDERED.match(line)
+        indent = len(line) - len(line.lstrip(" \t"))
+        if ordered and ordered.group(1) != "1" and self.start is not None and not self.levels:
+            return False
+        while self.levels and self.levels[-1][0] > indent:
+            self.levels.pop()
+        if not self.levels or self.levels[-1][0] < indent:
+            self.levels.append((indent, bool(ordered)))
+        else:
+            self.levels[-1] = (indent, bool(ordered))
+        return True
+
+    def run(self) -> Iterator[tuple[int, int]]:
+        """(start, end) of all units, not trimmed."""
+        text, pos, fence = self.text, 0, None
+        stops = _STOP.finditer(text)
+        stop = next(stops, None)
+        while pos < len(text):
+            behind = _LINE.match(text, pos).end()
+            line = text[pos:behind]
+            blank = not line.strip()
+            body = behind  # where marks and terminators count
+            if fence is not None:
+                self.end = behind
+                if line.strip().startswith(fence) and not line.strip().strip(fence[0]):
+                    yield from self.close(True)
+                    fence = None
+            elif blank:
+                yield from self.close()
+                self.levels.clear()
+            elif f := _FENCE.match(line):
+                yield from self.close()
+                self.levels.clear()
+                self.open(pos, behind)
+                fence = f.group(1)
+            elif _HEADING.match(line):
+                yield from self.close()
+                self.levels.clear()
+                self.open(pos, behind)
+                yield from self.close(True)
+            elif self.item(line):
+                yield from self.close()
+                self.open(pos, behind)
+                body = pos + _BULLET.match(line).end()
+            else:
+                if self.start is None:
+                    self.open(pos, behind)
+                self.end = body = behind
+                body = pos
+            while stop is not None and stop.start() < behind:
+                if stop.start() >= body and self.start is not None and fence is None:
+                    self.read(stop)
+                stop = next(stops, None)
+            pos = behind
+        yield from self.close(fence is not None)
 
 
-def _closes(opener: str, c: str) -> bool:
-    if opener == "„":
-        return c in "“”"
-    return CLOSE.get(opener, QUOTES.get(opener)) == c
+def _closers(c: str) -> str:
+    return "“”" if c == "„" else CLOSE.get(c) or QUOTES[c]
 
 
 def _codelike(word: str) -> bool:
@@ -218,7 +269,7 @@ def _after_full_stop(text: str, i: int, dots: str, begin: int, nxt: int, end: in
     if len(dots) > 1:
         return _begins(text, nxt, end)
     kind = abbreviation(text, i, begin)
-    if kind == "never":
+    if kind == "never" and not _UNIT.search(text, max(begin, i - 4), i):
         return False
     if kind == "maybe":
         return text[nxt] != "(" and not text[nxt].isdigit() and _begins(text, nxt, end)
@@ -226,7 +277,7 @@ def _after_full_stop(text: str, i: int, dots: str, begin: int, nxt: int, end: in
     while k > begin and text[k - 1].isalnum():
         k -= 1
     word = text[k:i]
-    if len(word) == 1 and word.isalpha() and (k == begin or text[k - 1].isspace() or text[k - 1] in ".(") and word < "\u0e00":
+    if kind != "never" and len(word) == 1 and word.isalpha() and (k == begin or text[k - 1].isspace() or text[k - 1] in ".(") and word < "\u0e00":
         return False  # an initial
     if word.isdigit() and len(word) <= 2 and (k == begin or text[k - 1].isspace()):
         following = re.match(r"\w+", text[nxt:nxt + 12])
@@ -256,19 +307,16 @@ def _after_close(text: str, opener: str, opened: int, sentence: int, p: int, nxt
     return _begins(text, nxt, end)
 
 
-def _is_greek(text: str, begin: int, i: int) -> bool:
-    return sum("Ͱ" <= c <= "Ͽ" or "ἀ" <= c <= "῿" for c in text[begin:i]) * 3 > i - begin
+_GREEK = re.compile("[\u0370-\u03ff\u1f00-\u1fff]")
 
 
-def split_block(text: str, begin: int, end: int) -> Iterator[tuple[int, int]]:
+def _cut(text: str, begin: int, end: int, stops: list, pairs: dict[int, int]) -> Iterator[tuple[int, int]]:
     """Sentences of a paragraph or list item, not trimmed."""
     mark = _BULLET.match(text, begin, end)
-    body = mark.end() if mark else begin
-    stops = list(_STOP.finditer(text, body, end))
-    pairs = _pairs(text, stops, body)
-    sentence = body  # where the sentence's own text starts
+    sentence = mark.end() if mark else begin  # where the sentence's own text starts
     first = begin  # where its unit starts
-    skip = body
+    skip = sentence
+    greek, counted = 0, sentence  # Greek letters of the sentence up to a place
     for m in stops:
         i, p, c = m.start(), m.end(), m.group()
         if i < skip:
@@ -290,9 +338,12 @@ def split_block(text: str, begin: int, end: int) -> Iterator[tuple[int, int]]:
                     p += 1
                 nxt = _SPACE.match(text, p, end).end()
                 ended = _after_close(text, c, i, sentence, p, nxt, end)
-        elif c[0] in ENDS or c[0] in FULL or c[0] in ";;":
-            if c[0] in ";;" and (c[0] == ";" and not _is_greek(text, sentence, i)):
-                continue
+        elif c[0] in ENDS or c[0] in FULL or c[0] in ";\u037e":
+            if c[0] == ";":
+                greek += len(_GREEK.findall(text, counted, i))
+                counted = i
+                if greek * 3 <= i - sentence:
+                    continue
             while p < end and (text[p] in CLOSERS and p not in pairs and text[p] not in "'’`"):
                 p += 1
             nxt = _SPACE.match(text, p, end).end()
@@ -310,6 +361,7 @@ def split_block(text: str, begin: int, end: int) -> Iterator[tuple[int, int]]:
             yield first, p
             sentence = first = _SPACE.match(text, p, end).end()
             skip = max(skip, sentence)
+            greek, counted = 0, sentence
     if first < end:
         yield first, end
 
@@ -319,14 +371,13 @@ def sentences(text: str | None) -> list[tuple[int, int]]:
     if not text:
         return []
     out = []
-    for begin, end, whole in blocks(text):
-        for a, b in [(begin, end)] if whole else split_block(text, begin, end):
-            while a < b and text[a].isspace():
-                a += 1
-            while b > a and text[b - 1].isspace():
-                b -= 1
-            if a < b:
-                out.append((a, b))
+    for a, b in _Automaton(text).run():
+        while a < b and text[a].isspace():
+            a += 1
+        while b > a and text[b - 1].isspace():
+            b -= 1
+        if a < b:
+            out.append((a, b))
     return out
 
 

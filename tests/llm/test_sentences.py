@@ -26,6 +26,9 @@ CASES = {
     "โมดูลอ่านไฟล์ กราฟลบโหนด": ["โมดูลอ่านไฟล์", "กราฟลบโหนด"],
     "# Head. Two\nText one. Two\nlines.\n\n```\na. B.\n\nc\n```\n- One. Two.\n- z\n": ["# Head. Two", "Text one.", "Two\nlines.", "```\na. B.\n\nc\n```", "- One.", "Two.", "- z"],
     'He said "stop. And left. Then': ['He said "stop.', "And left.", "Then"],
+    "It differs by 22.6 s. Dr. Ha left. See s. 4. It took 3 s. a.b_c is on (s. o.). End.": ["It differs by 22.6 s.", "Dr. Ha left.", "See s. 4.", "It took 3 s.", "a.b_c is on (s. o.).", "End."],
+    "- aa. B.\n  2. c\n  3. dd. E\n- f\n\ng\n2. h": ["- aa.", "B.", "2. c", "3. dd.", "E", "- f", "g\n2. h"],
+    "Τι\u037e Ναι.": ["Τι\u037e", "Ναι."],
     "": [], "  \n\t ": [], ".": ["."], "no end": ["no end"], "```\nopen. Fence": ["```\nopen. Fence"],
 }
 
@@ -42,3 +45,15 @@ def test_spans_are_ordered_and_cover(spark):
     assert len(rows) == 20_002 and len(set(rows)) == len(rows)
     assert [r for r in rows if r[0] == 4] == [(4, 0, 9)]
     assert sentence_spans(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("part", ["let a = b; ", "(", "a. (", ")(", '"a ', "„“", "γ; ", ".”"])
+def test_time_grows_with_length(part):
+    import time
+
+    def took(n):
+        began = time.process_time()
+        sentences(part * (n // len(part)))
+        return time.process_time() - began
+
+    assert took(400_000) < 20 * max(took(50_000), 0.02)
