@@ -9,8 +9,8 @@ there the syntax tree, which the parse made anyway, gives functions and their do
 Documentation is trivial if nothing is left of it without tags, if it says that it is missing or
 still to come, if it fits any function, or if it only repeats the name's words.
 
-Cases: null content, unknown extensions and files that do not parse yield nothing; a file sent
-twice yields its pairs once; texts are read whole; extra columns are not read.
+Cases: null content, unknown extensions and files that do not parse yield nothing; of a file sent
+twice the latest record counts; texts are read whole; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from .lexers import (
     ARROW, END, IDENT, INCREMENT, JAVA_WORDS, JS_CONTEXTUAL, JS_WORDS, NEWLINE, PAIRS, PRIVATE, Broken, Tokens,
 )
-from .syntax import language_of, parsers
+from .syntax import language_of, parsers, record_order
 
 _J = JAVA_WORDS
 _S = JS_WORDS
@@ -64,7 +64,8 @@ _ANY = re.compile(
 _FILLER = frozenset(
     """a an the this that these it its of to for from in on with and or is are be by as at into all given new
     function method constructor class instance object value values data result results item items thing things stuff helper
-    returns return does do performs perform handles handle
+    property properties field fields attribute attributes member members variable variables
+    returns return does do performs perform handles handle shows show creates create makes make runs run calls call
     init inits initialise initialises initialize initializes initializer construct constructs""".split()
 )
 _WORD = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[^\W\d_A-Za-z]+")
@@ -100,7 +101,7 @@ def trivial(text: str, name: str) -> bool:
     if not any(c.isalnum() for c in text) or _MISSING.match(text) or _ANY.match(text):
         return True
     own = {w.lower() for w in _WORD.findall(name)}
-    own |= {_stem(w) for w in own}
+    own |= {_stem(w) for w in own} | {"".join(_WORD.findall(name)).lower()}
     if own & {"constructor", "init"}:
         own |= {"constructor", "constructs", "init", "inits", "initial", "initialise", "initialize", "create", "creat"}
     said = [w.lower() for w in _WORD.findall(text)]
@@ -331,6 +332,7 @@ def _commented(text: str, tokens: Tokens, java: bool) -> list[tuple[int, str, st
         return []
     r = _Reader(text, tokens)
     classes = set(re.findall(r"\b(?:class|enum|record|interface)\s+(\w+)", text)) if java else set()
+    breaks = [m.start() for m in re.finditer("\n", text)]
     out = []
     for start, end in tokens.docs:
         i = bisect_left(r.starts, end)
@@ -346,7 +348,7 @@ def _commented(text: str, tokens: Tokens, java: bool) -> list[tuple[int, str, st
         words = description(comment_text(text[start:end]), True)
         called = r.word(name)
         if not trivial(words, called):
-            out.append((text.count("\n", 0, r.starts[name]) + 1, called, words, text[r.starts[i] : r.end(min(behind, len(r.starts)) - 1)]))
+            out.append((bisect_left(breaks, r.starts[name]) + 1, called, words, text[r.starts[i] : r.end(min(behind, len(r.starts)) - 1)]))
     return out
 
 
@@ -382,23 +384,23 @@ def _run(with_text: bool):
     def run(batches):
         import pyarrow as pa
 
-        names = ["file_id", "decl_line", "func_name", "documentation", "code"][: 5 if with_text else 3]
+        fields = [("decl_line", pa.int32()), ("func_name", pa.string()), ("documentation", pa.string()), ("code", pa.string())][: 4 if with_text else 2]
         for batch in batches:
-            of, rows = [], []
-            for k, (path, text) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())):
-                found = pairs_of(path, text)
-                of += [k] * len(found)
-                rows += found
+            offsets, rows = [0], []
+            for path, text in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+                rows += pairs_of(path, text)
+                offsets.append(len(rows))
             columns = list(zip(*rows)) or [()] * 4
-            kinds = (pa.int32(), pa.string(), pa.string(), pa.string())
-            arrays = [pa.array(c, t) for c, t in zip(columns, kinds)][: len(names) - 1]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(of, pa.int64())), *arrays], names)
+            flat = pa.StructArray.from_arrays([pa.array(c, t) for c, (_, t) in zip(columns, fields)], names=[n for n, _ in fields])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), flat)], ["file_id", "sent", "pairs"])
 
     return run
 
 
 def documented_functions(files: DataFrame, with_text: bool = True) -> DataFrame:
-    """(file_id, decl_line, func_name[, documentation, code]) of all pairs."""
-    source = files.where(F.col("content").isNotNull()).select(F.col("file_id").cast("bigint").alias("file_id"), "path", "content")
-    schema = "file_id bigint, decl_line int, func_name string" + ", documentation string, code string" * with_text
-    return source.mapInArrow(_run(with_text), schema).dropDuplicates(["file_id", "decl_line", "func_name"])
+    """(file_id, decl_line, func_name[, documentation, code]) of all pairs of each file's latest record."""
+    source = files.select(F.col("file_id").cast("bigint").alias("file_id"), record_order(files).alias("sent"), "path", "content")
+    pair = "struct<decl_line:int,func_name:string" + ",documentation:string,code:string" * with_text + ">"
+    rows = source.mapInArrow(_run(with_text), f"file_id bigint, sent {source.schema['sent'].dataType.simpleString()}, pairs array<{pair}>")
+    latest = rows.groupBy("file_id").agg(F.max_by("pairs", "sent").alias("pairs"))
+    return latest.select("file_id", F.inline("pairs")).dropDuplicates(["file_id", "decl_line", "func_name"])

@@ -21,6 +21,9 @@ from pyspark.sql import functions as F
 #: What must stand before a cut, strongest first.
 BOUNDARIES = (r"(?<=\n\s?\n)", r"(?<=\n)", r"(?<=[.!?…;:])(?=\s)|(?<=[。！？．।])", r"(?<=\s)")
 
+#: Elements that are summed before their array is put away.
+CHUNK = 1024
+
 
 def limits(size_limits: DataFrame, item_field: str) -> DataFrame:
     """The one limit in characters of a field: the table is fixed at a few rows."""
@@ -43,24 +46,39 @@ def bodies(texts: DataFrame, limit: DataFrame) -> DataFrame:
     return over.withColumn("bodies", F.regexp_extract_all("text", body_pattern(F.col("max_size"), F.col("overlap")), F.lit(0)))
 
 
+def _starts(lengths: Column) -> Column:
+    """Running sums of an array before each element, in chunks, so that time grows with the array's length."""
+    zero = F.struct(F.array().cast("array<array<int>>").alias("done"), F.array().cast("array<int>").alias("chunk"), F.lit(0).alias("at"))
+
+    def step(acc: Column, n: Column) -> Column:
+        full = F.size(acc["chunk"]) >= CHUNK
+        return F.struct(
+            F.when(full, F.array_append(acc["done"], acc["chunk"])).otherwise(acc["done"]).alias("done"),
+            F.when(full, F.array(acc["at"])).otherwise(F.array_append(acc["chunk"], acc["at"])).alias("chunk"),
+            (acc["at"] + n).alias("at"),
+        )
+
+    return F.aggregate(lengths, zero, step, lambda acc: F.flatten(F.array_append(acc["done"], acc["chunk"])))
+
+
 def pieces(cut: DataFrame) -> DataFrame:
-    """(item_table, item_id, piece_no, start_pos, end_pos, piece) of what ``bodies`` returns."""
-    ends = F.aggregate(
-        F.transform("bodies", F.char_length),
-        F.array(F.lit(0)),
-        lambda acc, n: F.array_append(acc, F.element_at(acc, -1) + n),
-    )
-    flat = cut.withColumn("ends", ends).select(
-        "item_table", "item_id", "text", "overlap", "ends", F.posexplode("bodies").alias("piece_no", "body")
-    )
-    begin = F.element_at("ends", F.col("piece_no") + 1)
-    before = F.when(F.col("piece_no") == 0, F.lit(0)).otherwise(F.greatest(F.lit(0), begin - F.col("overlap")))
-    end = F.element_at("ends", F.col("piece_no") + 2)
-    at = flat.select("item_table", "item_id", "piece_no", before.cast("int").alias("start_pos"), end.alias("end_pos"), "text")
-    return at.select(
-        "item_table", "item_id", "piece_no", "start_pos", "end_pos",
-        F.substring("text", F.col("start_pos") + 1, F.col("end_pos") - F.col("start_pos")).alias("piece"),
-    )
+    """(item_table, item_id, piece_no, start_pos, end_pos, piece) of what ``bodies`` returns.
+
+    A piece is its body behind the end of the bodies before it, of which at most ``back`` reach into
+    the overlap; no piece is looked up in the whole text.
+    """
+    least = F.greatest(F.lit(1), F.floor((F.col("max_size") - F.col("overlap")) / 2))
+    back = F.ceil(F.col("overlap") / least).cast("int")
+    row = cut.select("item_table", "item_id", "bodies", F.col("overlap").cast("int").alias("overlap"), back.alias("back"), _starts(F.transform("bodies", F.char_length)).alias("starts"))
+
+    def piece(body: Column, i: Column) -> Column:
+        before = F.array_join(F.slice("bodies", F.greatest(F.lit(1), i + 1 - F.col("back")), F.least(i, F.col("back"))), "")
+        start = F.element_at("starts", i + 1)
+        end = start + F.char_length(body)
+        return F.struct(F.greatest(F.lit(0), start - F.col("overlap")).alias("start_pos"), end.alias("end_pos"), F.concat(F.right(before, F.col("overlap")), body).alias("piece"))
+
+    flat = row.select("item_table", "item_id", F.posexplode(F.transform("bodies", piece)).alias("piece_no", "p"))
+    return flat.select("item_table", "item_id", "piece_no", "p.start_pos", "p.end_pos", "p.piece")
 
 
 def items(sources: list[tuple[str, DataFrame, str, str, DataFrame]]) -> DataFrame:

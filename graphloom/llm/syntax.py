@@ -22,7 +22,6 @@ import warnings
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .java_grammar import Java
 from .lexers import Broken, Groups
@@ -117,23 +116,25 @@ def _run(batches):
         kinds = (pa.string(), pa.bool_(), pa.string(), pa.string())
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds)), batch.column(3)],
-            ["file_id", "language", "valid", "parses_as", "error", "ingested_at"],
+            ["file_id", "language", "valid", "parses_as", "error", "sent"],
         )
 
 
+def record_order(files: DataFrame) -> Column:
+    """What the latest of a file's records has most of: the time it arrived, then its text."""
+    return F.struct(F.col("ingested_at").cast("timestamp_ntz").alias("at"), F.xxhash64("content", "path").alias("text"))
+
+
 def verdicts(files: DataFrame) -> DataFrame:
-    """(file_id, language, valid, parses_as, error, ingested_at) of each record."""
-    return files.select(F.col("file_id").cast("bigint").alias("file_id"), "path", "content", F.col("ingested_at").cast("timestamp_ntz").alias("ingested_at")).mapInArrow(
-        _run, "file_id bigint, language string, valid boolean, parses_as string, error string, ingested_at timestamp_ntz"
-    )
+    """(file_id, language, valid, parses_as, error, sent) of each record."""
+    source = files.select(F.col("file_id").cast("bigint").alias("file_id"), "path", "content", record_order(files).alias("sent"))
+    return source.mapInArrow(_run, f"file_id bigint, language string, valid boolean, parses_as string, error string, sent {source.schema['sent'].dataType.simpleString()}")
 
 
 def latest(df: DataFrame) -> DataFrame:
     """The latest record of each file."""
-    rest = [c for c in df.columns if c != "file_id"]
-    return df.groupBy("file_id").agg(F.max_by(F.struct(*rest), "ingested_at").alias("_r"), F.max(F.struct(*rest)).alias("_o")).select(
-        "file_id", F.coalesce("_r", "_o").alias("r")
-    ).select("file_id", *(F.col("r")[c].alias(c) for c in rest))
+    rest = [c for c in df.columns if c not in ("file_id", "sent")]
+    return df.groupBy("file_id").agg(F.max_by(F.struct(*rest), "sent").alias("r")).select("file_id", *(F.col("r")[c].alias(c) for c in rest))
 
 
 def invalid_files(files: DataFrame) -> DataFrame:
@@ -148,9 +149,7 @@ def clean_path(path: Column) -> Column:
 
 def rates(files: DataFrame, reports: DataFrame) -> DataFrame:
     """Per project and language: files, invalid ones by cause, and what reports had named."""
-    paths = files.select("file_id", "ingested_at", "project", clean_path(F.col("path")).alias("path"))
-    newest = Window.partitionBy("file_id").orderBy(F.desc_nulls_last("ingested_at"), "project", "path")
-    paths = paths.withColumn("_n", F.row_number().over(newest)).where("_n = 1").select("file_id", "project", "path")
+    paths = latest(files.select("file_id", record_order(files).alias("sent"), "project", clean_path(F.col("path")).alias("path")))
     reported = (
         reports.where(F.lower(F.trim("severity")).isin("error", "err", "fatal", "critical"))
         .select(clean_path(F.col("file")).alias("path"))

@@ -157,8 +157,10 @@ def test_trivial(text, name, trivial):
 
 
 def test_pairs_frame(spark):
-    df = spark.createDataFrame([(1, "a.ts", TS, 1), (1, "a.ts", TS, 1), (2, "b.py", PY, 1), (3, "c.py", None, 1), (4, None, "x", 1)], "file_id bigint, path string, content string, code int")
+    df = spark.createDataFrame([(1, "a.ts", TS, 1), (1, "a.ts", TS, 1), (2, "b.py", PY, 1), (3, "c.py", None, 1), (4, None, "x", 1)], "file_id bigint, path string, content string, code int").withColumn("ingested_at", F.lit(None).cast("timestamp_ntz"))
     assert documented.documented_functions(df).count() == 7
+    later = df.where("file_id = 2").select("file_id", "path", F.lit("x = 1").alias("content"), "code", F.lit("2026-01-01").cast("timestamp_ntz").alias("ingested_at"))
+    assert {r.file_id for r in documented.documented_functions(df.unionByName(later)).collect()} == {1}
     assert documented.documented_functions(df, with_text=False).columns == ["file_id", "decl_line", "func_name"]
     assert documented.documented_functions(df.limit(0)).count() == 0
 
