@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from .lexers import (
     ARROW, END, IDENT, INCREMENT, JAVA_WORDS, JS_CONTEXTUAL, JS_WORDS, NEWLINE, PAIRS, PRIVATE, Broken, Tokens,
 )
-from .syntax import language_of, parsers, record_order
+from .syntax import Undecided, language_of, parsers, record_order
 
 _J = JAVA_WORDS
 _S = JS_WORDS
@@ -373,7 +373,7 @@ def pairs_of(path: str | None, text: str | None) -> list[tuple[int, str, str, st
         return []
     try:
         parsed = parsers().parse(language, text)
-    except Broken:
+    except (Broken, Undecided):
         return []
     if language == "python":
         return _docstrings(text, parsed)

@@ -17,6 +17,7 @@ class Broken(Exception):
 # Kinds.  Punctuation stands for itself; the rest:
 IDENT, NUMBER, STRING, TEMPLATE, REGEX, PRIVATE = "i", "n", "s", "t", "r", "#"
 ASSIGN, BINARY, INCREMENT, ARROW, SPREAD, OPTIONAL, REFERENCE = "A", "b", "U", "F", "E", "Q", "M"
+LOGICAL, COALESCE, POWER = "l", "o", "w"
 TEMPLATE_OPEN, TEMPLATE_CLOSE, SUBST_OPEN, SUBST_CLOSE = "\x11", "\x12", "\x13", "\x14"
 JSX_OPEN, JSX_CLOSE, CHILD_OPEN, CHILD_CLOSE = "\x15", "\x16", "\x17", "\x18"
 VALUE_OPEN, VALUE_CLOSE, ALL_OPEN, ALL_CLOSE = "\x19", "\x1a", "\x1b", "\x1c"
@@ -50,7 +51,7 @@ JAVA_WORDS = JAVA_RESERVED | JAVA_CONTEXTUAL
 
 _OPERATORS = {
     **dict.fromkeys("+= -= *= /= %= **= <<= &= |= ^= &&= ||= ??=".split(), ASSIGN),
-    **dict.fromkeys("=== !== == != <= << && || ?? **".split(), BINARY),
+    **dict.fromkeys("=== !== == != <= <<".split(), BINARY), "&&": LOGICAL, "||": LOGICAL, "??": COALESCE, "**": POWER,
     "++": INCREMENT, "--": INCREMENT, "=>": ARROW, "...": SPREAD, "?.": OPTIONAL,
 }
 
@@ -68,6 +69,8 @@ _JS = re.compile(
     )""", re.X
 ).match
 _REGEX = re.compile(r"/(?![*/])(?:[^\\/\[\n\r]|\\[^\n\r]|\[(?:[^\]\\\n\r]|\\[^\n\r])*\])+/[A-Za-z]*").match
+#: Escapes with digits of their own must be whole.
+_JS_ESCAPES = re.compile(r"(?:[^\\]|\\(?:u[\da-fA-F]{4}|u\{0*(?:10|[\da-fA-F])?[\da-fA-F]{1,4}\}|x[\da-fA-F]{2}|0(?!\d)|[^ux\d]))*\Z").match
 _CHUNK = re.compile(r"(?:[^`\\$]|\\[\s\S]|\$(?!\{))*").match
 _TAG = re.compile(r"\s*([A-Za-z_$][\w$]*(?:[-.:][A-Za-z_$][\w$]*)*|(?=>))").match
 _ATTRIBUTE = re.compile(r"""\s*(?:(?P<end>/\s*>|>)|(?P<spread>\{\s*(?=\.\.\.))|(?P<name>[A-Za-z_$][\w$-]*(?::[\w$-]+)?)(?:\s*=\s*(?P<value>"[^"]*"|'[^']*'|\{|<))?)|(?P<comment>\s*(?://[^\n]*|/\*[\s\S]*?\*/))""").match
@@ -88,19 +91,20 @@ _AFTER = (
 
 
 class Tokens:
-    """kinds and starts of the tokens; docs: (start, end) of comments that begin with two stars."""
+    """kinds and starts of the tokens; docs: (start, end) of comments that begin with two stars; jsx: was any met?"""
 
-    __slots__ = ("kinds", "starts", "docs")
+    __slots__ = ("kinds", "starts", "docs", "jsx")
 
     def __init__(self):
+        self.jsx = False
         self.kinds: list[str] = []
         self.starts: list[int] = []
         self.docs: list[tuple[int, int]] = []
 
 
-def lex_script(text: str, jsx: bool) -> Tokens:
-    """Tokens of an ECMAScript or TypeScript text, with line breaks that may end a statement."""
-    out = Tokens()
+def lex_script(text: str, jsx: bool, out: Tokens | None = None) -> Tokens:
+    """Tokens of an ECMAScript or TypeScript text, with line breaks that may end a statement; those before an error stay in ``out``."""
+    out = out or Tokens()
     pos = 0
     if text.startswith("#!"):
         pos = (text.find("\n") + 1) or len(text)
@@ -144,6 +148,7 @@ def _script(text: str, pos: int, jsx: bool, out: Tokens, inner: bool) -> int:
                 if prev in _BEFORE and "\n" in text[last:start]:
                     add(NEWLINE)
                     mark(start)
+                out.jsx = True
                 pos = last = _jsx(text, start, out)
                 prev = JSX_CLOSE
                 continue
@@ -151,6 +156,8 @@ def _script(text: str, pos: int, jsx: bool, out: Tokens, inner: bool) -> int:
                 k = operators.get(op, op)
         elif group == "s":
             k = STRING
+            if "\\" in m[group] and not _JS_ESCAPES(m[group]):
+                raise Broken("escape in a string", start)
         elif group == "n":
             k = NUMBER
             if text[start] == "0" and pos_ - start == 1 and text[pos_ : pos_ + 1].isdigit():
@@ -279,6 +286,12 @@ _JAVA_OPERATORS = {
 }
 
 
+#: A whole number that begins with 0 has octal digits only.
+_OCTAL = re.compile(r"0[\d_]*[89][\d_]*[lL]?\Z").match
+#: What may stand behind a backslash in Java.
+_ESCAPES = re.compile(r"(?:[^\\]|\\(?:[btnfrs\"'\\0-7\n]|\r\n?|u+[\da-fA-F]{4}))*\Z").match
+
+
 def lex_java(text: str) -> Tokens:
     """Tokens of a Java text."""
     out = Tokens()
@@ -295,6 +308,8 @@ def lex_java(text: str) -> Tokens:
             add(words.get(m[group], IDENT))
         elif group == "p":
             add(m[group])
+        elif group == "n" and _OCTAL(m[group]):
+            raise Broken("octal number", start)
         elif group == "o":
             op = m[group]
             add(operators.get(op, op))
@@ -303,6 +318,8 @@ def lex_java(text: str) -> Tokens:
                 out.docs.append((start, pos))
             continue
         elif group == "s":
+            if "\\" in m[group] and not _ESCAPES(m[group]):
+                raise Broken("escape in a string", start)
             add(STRING)
         elif group == "n":
             add(NUMBER)
@@ -311,6 +328,35 @@ def lex_java(text: str) -> Tokens:
         mark(start)
 
 
+class Lexed:
+    """The tokens of one text at a time, lexed once for all dialects that read it alike."""
+
+    def __init__(self):
+        self.text: str | None = None
+        self.found: dict = {}
+
+    def of(self, text: str, groups: Groups, jsx: bool) -> tuple[Tokens, str]:
+        """Tokens and the flat kinds of the whole text; raises Broken."""
+        if text is not self.text:
+            self.text, self.found = text, {}
+        # what is read without meeting JSX is the same with it and without
+        for way in (True, jsx):
+            if jsx in self.found:
+                break
+            tokens = Tokens()
+            try:
+                got = lex_script(text, way, tokens), groups.tree(tokens.kinds)
+            except Broken as e:
+                got = e
+            self.found[way] = got
+            if not tokens.jsx:
+                self.found[False] = got
+        got = self.found[jsx]
+        if isinstance(got, Broken):
+            raise got
+        return got
+
+
 class Groups:
     """Interned bracket groups: equal groups, nested ones included, get one number.
 

@@ -8,9 +8,9 @@ block, object, ...) by the grammar around it.  Answers are kept per group and ro
 from __future__ import annotations
 
 from .lexers import (
-    ALL_OPEN, ARROW, ASSIGN, BINARY, CHILD_OPEN, END, IDENT, INCREMENT, JS_CONTEXTUAL, JS_RESERVED, JS_WORDS, JSX_OPEN,
-    NEWLINE, NUMBER, OPTIONAL, PRIVATE, REGEX, SPREAD, STRING, SUBST_OPEN, TEMPLATE, TEMPLATE_OPEN, VALUE_OPEN, Broken,
-    Groups, Tokens, lex_script,
+    ALL_OPEN, ARROW, ASSIGN, BINARY, CHILD_OPEN, COALESCE, END, IDENT, INCREMENT, JS_CONTEXTUAL, JS_RESERVED, JS_WORDS, JSX_OPEN,
+    LOGICAL, NEWLINE, NUMBER, OPTIONAL, POWER, PRIVATE, REGEX, SPREAD, STRING, SUBST_OPEN, TEMPLATE, TEMPLATE_OPEN, VALUE_OPEN, Broken,
+    Groups, Lexed, Tokens,
 )
 
 W = JS_WORDS
@@ -18,7 +18,8 @@ NAMES = frozenset([IDENT, *JS_CONTEXTUAL.values()])
 WORDS = frozenset([IDENT, *JS_WORDS.values()])
 KEYS = WORDS | {STRING, NUMBER}
 PREFIX = frozenset(["!", "~", "+", "-", INCREMENT, *(W[w] for w in ("typeof", "void", "delete", "await"))])
-INFIX = frozenset([BINARY, "+", "-", "*", "/", "%", "&", "|", "^", "<", W["instanceof"], W["in"]])
+SIGNS = frozenset(["!", "~", "+", "-", *(W[w] for w in ("typeof", "void", "delete"))])
+INFIX = frozenset([BINARY, LOGICAL, COALESCE, POWER, "+", "-", "*", "/", "%", "&", "|", "^", "<", W["instanceof"], W["in"]])
 LITERALS = frozenset([NUMBER, STRING, TEMPLATE, REGEX, *(W[w] for w in ("this", "super", "null", "true", "false"))])
 STOPS = frozenset([";", NEWLINE, END])
 MODIFIERS = frozenset(W[w] for w in "public private protected readonly abstract override declare static accessor".split())
@@ -29,8 +30,8 @@ AS = frozenset((W["as"], W["satisfies"]))
 class Script:
     """One dialect: with or without TypeScript, with or without JSX."""
 
-    def __init__(self, groups: Groups, types: bool, jsx: bool):
-        self.groups, self.types, self.jsx = groups, types, jsx
+    def __init__(self, groups: Groups, types: bool, jsx: bool, lexed: Lexed | None = None):
+        self.groups, self.types, self.jsx, self.lexed = groups, types, jsx, lexed or Lexed()
         self.dialect = f"{types:d}{jsx:d}"
 
     def check(self, text: str) -> None:
@@ -39,8 +40,8 @@ class Script:
 
     def parse(self, text: str) -> Tokens:
         """The tokens of a valid module."""
-        tokens = lex_script(text, self.jsx)
-        _Level(self, self.groups.tree(tokens.kinds)).run("module")
+        tokens, flat = self.lexed.of(text, self.groups, self.jsx)
+        _Level(self, flat).run("module")
         return tokens
 
     def valid(self, group: str, role: str) -> bool:
@@ -227,7 +228,7 @@ class _Level:
             self.binding()
             if s[self.p] in (W["of"], W["in"]):
                 self.p += 1
-                self.expression()
+                self.expression() if s[self.p - 1] == W["in"] else self.assignment()
                 return
             if self.take("="):
                 self.assignment()
@@ -251,7 +252,7 @@ class _Level:
     def _for_of(self):
         self.target()
         self.one_of((W["of"], W["in"]))
-        self.expression()
+        self.expression() if self.s[self.p - 1] == W["in"] else self.assignment()
         if self.s[self.p] != END:
             self.fail()
 
@@ -404,10 +405,18 @@ class _Level:
 
     def binary(self) -> bool:
         """Operands with operators; says whether it is a single one that can be assigned to."""
+        first = self.s[self.p]
         settable = self.unary()
+        mixed = set()  # operators that must not meet without brackets
         while True:
             k = self.s[self.p]
             if k in INFIX:
+                if k == POWER and first in SIGNS:
+                    self.fail()
+                if k == LOGICAL or k == COALESCE:
+                    mixed.add(k)
+                    if len(mixed) > 1:
+                        self.fail()
                 self.p += 1
             elif k == ">":
                 n = 1
@@ -430,6 +439,7 @@ class _Level:
             else:
                 return settable
             settable = False
+            first = self.s[self.p]
             self.unary()
 
     def unary(self) -> bool:

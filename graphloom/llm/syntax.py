@@ -1,22 +1,23 @@
 """Source files that do not parse (problem 3).
 
-Every file is parsed with the grammar of its extension.  One that fails is tried against all other
-grammars, in the order in which its tokens rank the languages: the first that accepts it names a
-wrong extension; a file that none accepts is corrupt.  (A file that is valid in its own language
-is not tried further: the answer could not change.)  Python is parsed by the interpreter's own
-parser, the others by the grammars of script_grammar and java_grammar.
+Every file is parsed with all grammars, in the order in which its tokens rank the languages.  One that
+the grammar of its extension refuses has a wrong extension if another accepts it, named by the first
+that does; a file that none accepts is corrupt; one that languages of several kinds accept is
+ambiguous.  Dialects of one family share the lexing of a text and what is known of its bracket
+groups.  Python is parsed by the interpreter's own parser, which must be 3.13 or later, the others by
+the grammars of script_grammar and java_grammar.
 
 Reports of earlier runs are evidence beside the parse, not instead of it: the rates count, per
 project and language, files, invalid files by cause, and those that an error report had named.
 
-Cases: null content and unknown extensions are no case (``valid`` is null); empty and blank texts
-are valid.  A file sent twice counts once, by its latest record.  Extra columns are not read.
+Cases: null content and unknown extensions are no case (``valid`` is null), nor is a text nested too
+deeply to be judged; empty and blank texts are valid.  A worker short of memory fails its task and
+judges nothing.  A file sent twice counts once, by its latest record.  Extra columns are not read.
 """
 
 from __future__ import annotations
 
 import ast
-import re
 import sys
 import warnings
 
@@ -24,69 +25,85 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .java_grammar import Java
-from .lexers import Broken, Groups
+from .lexers import Broken, Groups, Lexed
 from .script_grammar import Script
 
 #: The language of an extension.
 EXTENSIONS = {"py": "python", "java": "java", "ts": "typescript", "tsx": "tsx", "js": "javascript", "mjs": "javascript", "jsx": "javascript"}
 LANGUAGES = ("python", "java", "typescript", "tsx", "javascript")
-#: Tokens that speak for a language.
-_MARKS = re.compile(
-    r"(?P<python>^[ \t]*(?:def|elif|from|class \w+.*:$|import \w+$)|\bself\b|\bNone\b)"
-    r"|(?P<java>^(?:package|import) [\w.*]+;|\bpublic\b|\bfinal\b|\bvoid\b)"
-    r"|(?P<typescript>\w\??: (?:any|string|number|boolean|unknown|void|Array)\b|\binterface\b)"
-    r"|(?P<tsx></\w|/>|className=)"
-    r"|(?P<javascript>\bconst\b|\bfunction\b|=>|\blet\b|===)",
-    re.M,
-)
+#: What speaks for a language.
+MARKS = {
+    "python": ("\ndef ", "    def ", "elif ", "self.", "None", "import "),
+    "java": ("public ", "private ", "final ", "void ", "package ", ";\nimport "),
+    "typescript": (": string", ": number", ": boolean", ": unknown", "interface ", "readonly "),
+    "tsx": ("</", "/>", "className="),
+    "javascript": ("const ", "function ", "=>", "let ", "===", "module.exports"),
+}
+FAMILY = {"typescript": "script", "tsx": "script", "javascript": "script"}
+
+
+class Undecided(Exception):
+    """The text is nested too deeply to be judged."""
 
 
 class Parsers:
     """The grammars of one Python worker; they share the interned groups."""
 
     def __init__(self):
+        if sys.version_info < (3, 13):
+            raise RuntimeError("Python files are parsed by the interpreter, which must be 3.13 or later")
         sys.setrecursionlimit(max(sys.getrecursionlimit(), 20_000))
         warnings.simplefilter("ignore", SyntaxWarning)
-        groups = Groups()
+        groups, lexed = Groups(), Lexed()
         self.java = Java(groups)
-        self.typescript = Script(groups, True, False)
-        self.tsx = Script(groups, True, True)
-        self.javascript = Script(groups, False, True)
+        self.typescript = Script(groups, True, False, lexed)
+        self.tsx = Script(groups, True, True, lexed)
+        self.javascript = Script(groups, False, True, lexed)
 
     def parse(self, language: str, text: str):
         """A syntax tree (Python) or tokens; raises Broken if the text isn't valid."""
-        if language != "python":
-            try:
-                return getattr(self, language).parse(text)
-            except RecursionError as e:
-                raise Broken("nested too deeply") from e
         try:
-            return compile(text.removeprefix("﻿"), "<text>", "exec", ast.PyCF_ONLY_AST)
-        except (SyntaxError, ValueError, RecursionError, MemoryError) as e:
+            if language != "python":
+                return getattr(self, language).parse(text)
+            return compile(text.removeprefix("\ufeff"), "<text>", "exec", ast.PyCF_ONLY_AST)
+        except (SyntaxError, ValueError) as e:
             raise Broken(str(e.args[0] if e.args else e)) from e
-
-    def verdict(self, language: str, text: str) -> tuple[bool, str | None, str | None]:
-        """(valid, the other language that accepts it, error)."""
-        try:
-            self.parse(language, text)
-            return True, None, None
-        except Broken as e:
-            error = str(e.args[0])
-        for other in ranked(text):
-            if other != language:
-                try:
-                    self.parse(other, text)
-                    return False, other, error
-                except Broken:
-                    pass
-        return False, None, error
+        except RecursionError as e:
+            raise Undecided("nested too deeply") from e
+        except MemoryError as e:
+            if "stack overflowed" in str(e):  # the parser's own limit, the same for every worker
+                raise Undecided("nested too deeply") from e
+            raise
+
+    def accepting(self, text: str) -> tuple[list[str], dict[str, str], bool]:
+        """The languages whose grammar accepts the text, best ranked first, why others don't, and whether all could tell."""
+        found, errors, sure = [], {}, True
+        for language in ranked(text):
+            try:
+                self.parse(language, text)
+                found.append(language)
+            except Broken as e:
+                errors[language] = str(e.args[0])
+            except Undecided as e:
+                errors[language], sure = str(e), False
+        return found, errors, sure
+
+    def verdict(self, language: str, text: str) -> tuple[bool | None, str | None, str | None, bool]:
+        """(valid, the other language that accepts it, error, do languages of several kinds accept it?)."""
+        if not text.strip():
+            return True, None, None, False
+        found, errors, sure = self.accepting(text)
+        kinds = {FAMILY.get(x, x) for x in found}
+        if language in found:
+            return True, None, None, len(kinds) > 1
+        if not sure and not found:
+            return None, None, errors[language], False
+        return False, found[0] if found else None, errors[language], len(kinds) > 1
 
 
 def ranked(text: str) -> list[str]:
     """The languages, the one with most tokens of its own first."""
-    hits = dict.fromkeys(LANGUAGES, 0)
-    for m in _MARKS.finditer(text):
-        hits[m.lastgroup] += 1
+    hits = {x: sum(map(text.count, MARKS[x])) for x in LANGUAGES}
     return sorted(LANGUAGES, key=lambda x: -hits[x])
 
 
@@ -111,12 +128,12 @@ def _run(batches):
         found = []
         for path, text in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
             language = language_of(path)
-            found.append((language, None, None, None) if text is None or language is None else (language, *p.verdict(language, text)))
-        columns = list(zip(*found)) or [[]] * 4
-        kinds = (pa.string(), pa.bool_(), pa.string(), pa.string())
+            found.append((language, None, None, None, None) if text is None or language is None else (language, *p.verdict(language, text)))
+        columns = list(zip(*found)) or [[]] * 5
+        kinds = (pa.string(), pa.bool_(), pa.string(), pa.string(), pa.bool_())
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds)), batch.column(3)],
-            ["file_id", "language", "valid", "parses_as", "error", "sent"],
+            ["file_id", "language", "valid", "parses_as", "error", "ambiguous", "sent"],
         )
 
 
@@ -126,9 +143,9 @@ def record_order(files: DataFrame) -> Column:
 
 
 def verdicts(files: DataFrame) -> DataFrame:
-    """(file_id, language, valid, parses_as, error, sent) of each record."""
+    """(file_id, language, valid, parses_as, error, ambiguous, sent) of each record."""
     source = files.select(F.col("file_id").cast("bigint").alias("file_id"), "path", "content", record_order(files).alias("sent"))
-    return source.mapInArrow(_run, f"file_id bigint, language string, valid boolean, parses_as string, error string, sent {source.schema['sent'].dataType.simpleString()}")
+    return source.mapInArrow(_run, f"file_id bigint, language string, valid boolean, parses_as string, error string, ambiguous boolean, sent {source.schema['sent'].dataType.simpleString()}")
 
 
 def latest(df: DataFrame) -> DataFrame:
@@ -164,6 +181,7 @@ def rates(files: DataFrame, reports: DataFrame) -> DataFrame:
         F.count_if(bad).alias("n_invalid"),
         F.count_if(bad & F.col("parses_as").isNotNull()).alias("n_wrong_extension"),
         F.count_if(bad & F.col("parses_as").isNull()).alias("n_corrupt"),
+        F.count_if("ambiguous").alias("n_ambiguous"),
         F.count_if(bad & F.coalesce("reported", F.lit(False))).alias("n_invalid_reported"),
         F.count_if(F.col("valid") & F.coalesce("reported", F.lit(False))).alias("n_valid_reported"),
         F.round(F.avg(bad.cast("double")), 6).alias("rate"),
