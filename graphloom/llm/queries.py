@@ -19,6 +19,11 @@ def p1_reasons(spark: SparkSession, d: str) -> DataFrame:
     return origin.origins(table(spark, d, "hier_files")).groupBy("reason").agg(F.count("*").alias("n_files"))
 
 
+def p1_rules(spark: SparkSession, d: str) -> DataFrame:
+    """The globs that mark files, declared and mined."""
+    return origin.rules_of(table(spark, d, "hier_files"))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return syntax.invalid_files(table(spark, d, "hier_files")).select("file_id")
 
@@ -86,7 +91,7 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
 def queries():
     return {
         f.__name__: f
-        for f in (p1_found, p1_reasons, p3_found, p3_rates, p4_found, p4_pieces, p5_found, p5_search, p7_found, p7_pairs, p8_ids, p9_containers, p10_found)
+        for f in (p1_found, p1_reasons, p1_rules, p3_found, p3_rates, p4_found, p4_pieces, p5_found, p5_search, p7_found, p7_pairs, p8_ids, p9_containers, p10_found)
     }
 
 

@@ -170,7 +170,7 @@ def test_attributes():
     assert match("*.min.js", "a/b/x.min.js") and match("gen/**", "gen/a/b.ts") and not match("gen/*", "gen/a/b.ts") and match("/top.js", "top.js") and not match("/top.js", "a/top.js")
     assert match("**/v/*.js", "a/v/x.js") and match("a[0-9].ts", "q/a1.ts") and not match("a?.ts", "a12.ts") and origin.glob_pattern("# c") is None
     rules = origin.attribute_rules("p/.gitattributes", "*.ts linguist-generated=true text\nkeep.ts -linguist-generated\nold/** linguist-vendored\nx.js linguist-generated=false\n*.md text")
-    assert [(f, m) for f, _, _, m in rules] == [("p", True), ("p", False), ("p", True), ("p", False)]
+    assert [(f, m) for f, _, _, _, m in rules] == [("p", True), ("p", False), ("p", True), ("p", False)]
 
 
 def hand(i):
@@ -192,11 +192,15 @@ def test_origins(spark):
     rows += [(300, "p9", "p9/src/copy.js", lib(3)), (301, "p9", "p9/src/patched.js", lib(5, "patched here")), (302, "p9", "p9/src/n.min.js", "function a(b){return b.c(b)}" * 30)]
     rows += [(303, "p9", "p9/src/d.js", "export default [" + "12.5,7,0x1f,\n" * 60 + "];"), (304, "p9", "p9/.gitattributes", "decl/** linguist-generated\ndecl/keep.js -linguist-generated"), (305, "p9", "p9/decl/x.js", hand(99)), (306, "p9", "p9/decl/keep.js", hand(98))]
     rows += [(307, "p9", "p9/vendors/x.js", "// Do not edit the generated files by hand; run make.\n" + hand(97)), (308, "p9", "p9/src/e.js", ""), (309, None, None, None), (310, "p9", "p9/src/l.js", "const icon = '" + "M1 2 L3 4 " * 60 + "';\n" + hand(96))]
+    rows += [(311, "p9", "p9/decl/in/.gitattributes", "*.js -linguist-generated\n/b.js linguist-generated"), (312, "p9", "p9/decl/in/a.js", hand(95)), (313, "p9", "p9/decl/in/b.js", hand(94)), (314, "p9", "p9/decl/in/c/b.js", hand(93))]
+    rows += [(320 + i, f"s{i}", f"s{i}/.gitattributes", "stubs/*.js linguist-vendored\nmine/** linguist-generated") for i in range(3)] + [(323, "s2", "s2/x/.gitattributes", "mine/** -linguist-generated")]
+    rows += [(330 + i, f"p{i}", f"p{i}/stubs/h.js", hand(80 + i)) for i in range(2)] + [(332, "s0", "s0/stubs/h.js", hand(82)), (333, "p1", "p1/mine/h.js", hand(83)), (334, "s0", "s0/vendor/h.js", hand(84)), (335, "p1", "p1/deep/stubs/h.js", hand(85))]
     rows += [rows[-1], rows[0]]
     df = spark.createDataFrame(rows, "file_id bigint, project string, path string, content string").withColumns({"ingested_at": F.lit(None).cast("timestamp_ntz"), "sig": F.lit(1), "class": F.lit(2)})
     got = {}
     for r in origin.origins(df).collect():
         got.setdefault(r.file_id, set()).add(r.reason)
-    assert set(got) == {*range(100, 112), *range(200, 210), 300, 301, 302, 303, 305}
+    assert set(got) == {*range(100, 112), *range(200, 210), 300, 301, 302, 303, 305, 311, 313, 330, 331, 332}
+    assert {(r.glob, r.source) for r in origin.rules_of(df).collect()} >= {("**/vendor/**", "mined"), ("stubs/*.js", "declared"), ("decl/**", "declared")}
     assert got[305] == {"declared"} and got[300] == {"copy"} and got[301] == {"copy"} and "minified" in got[302] and "data" in got[303] and "tool_shape" in got[100] and "path" in got[200]
     assert origin.not_by_hand(df.limit(0)).count() == 0
