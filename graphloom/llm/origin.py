@@ -213,11 +213,12 @@ FEATURES = (
 
 
 def _features(batches: Iterator) -> Iterator:
+    import numpy as np
     import pyarrow as pa
 
     names = [f.split()[0] for f in FEATURES.split(", ")]
     for batch in batches:
-        rows = []
+        rows, hashes, times, ends, sigs, signed = [], [], [], [0], [], []
         for path, text in zip(batch.column(2).to_pylist(), batch.column(4).to_pylist()):
             text = text or ""
             head = head_of(text)
@@ -225,10 +226,23 @@ def _features(batches: Iterator) -> Iterator:
             tool = bool(_NOTICE.search(head)) or (path or "").endswith(".java") and bool(_ANNOTATED.search(text))
             licensed = bool(_LICENCE.search(head))
             attributes = text if (path or "").endswith("/.gitattributes") or path == ".gitattributes" else None
-            rows.append((tool, licensed, is_minified(text), is_data(body), attributes, path_keys(path), [{"shape": _hash64(s), "times": n} for s, n in shapes_of(body).items()], signature(body)))
-        columns = list(zip(*rows)) or [[]] * 8
-        kinds = (pa.bool_(), pa.bool_(), pa.bool_(), pa.bool_(), pa.string(), pa.list_(pa.string()), pa.list_(pa.struct([("shape", pa.int64()), ("times", pa.int32())])), pa.list_(pa.int32()))
-        yield pa.RecordBatch.from_arrays([*batch.columns[:4], *(pa.array(c, k) for c, k in zip(columns, kinds))], names)
+            rows.append((tool, licensed, is_minified(text), is_data(body), attributes, path_keys(path)))
+            shapes = shapes_of(body)
+            hashes += map(_hash64, shapes)
+            times += shapes.values()
+            ends.append(len(hashes))
+            sig = signature(body)
+            signed.append(sig is not None)
+            if sig is not None:
+                sigs.append(sig)
+        columns = list(zip(*rows)) or [[]] * 6
+        kinds = (pa.bool_(), pa.bool_(), pa.bool_(), pa.bool_(), pa.string(), pa.list_(pa.string()))
+        shapes = pa.StructArray.from_arrays([pa.array(hashes, pa.int64()), pa.array(times, pa.int32())], names=["shape", "times"])
+        flat = pa.array(np.concatenate(sigs) if sigs else np.zeros(0, np.int32), pa.int32())
+        # an offset that is null makes a null list
+        offsets = np.concatenate([[0], np.cumsum(signed)]) * HASHES
+        sig = pa.ListArray.from_arrays(pa.array(offsets, pa.int32(), mask=np.array([not x for x in signed] + [False])), flat)
+        yield pa.RecordBatch.from_arrays([*batch.columns[:4], *(pa.array(c, k) for c, k in zip(columns, kinds)), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), shapes), sig], names)
 
 
 def features(files: DataFrame) -> DataFrame:
@@ -251,6 +265,8 @@ def by_shape(f: DataFrame) -> DataFrame:
     """file_id of files made of line shapes that tools leave."""
     of = F.aggregate("shapes", F.lit(0), lambda n, x: n + x["times"])
     lines = f.select("file_id", "project", F.col("tool").alias("proof"), of.alias("of"), F.inline("shapes"))
+    # only shapes of files with a notice can tell; the rest need not be counted
+    lines = lines.join(lines.where("proof").select("shape").distinct(), "shape", "left_semi")
     told = _mined(lines, "shape", SHAPE_FILES, SHAPE_PROJECTS, SHAPE_RATE)
     hits = lines.select("file_id", "of", "times", "shape").join(told, "shape", "left_semi")
     hits = hits.groupBy("file_id", "of").agg(F.sum("times").alias("n"))
