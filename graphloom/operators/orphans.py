@@ -8,8 +8,9 @@ start and -1 at its end, and an id exists at time t if the deltas up to t sum to
 The sum has two parts.  Whole days before t come from one row per id with its net change per day:
 stays are aggregated map-side before they are shuffled, and such a row grows with the days of the
 data, not with stays.  A link meets that one row, however hot its id is, and AQE splits the hot side.
-Only links whose id changes on their very day are looked at closer, by a running sum within (id,
-day).  No task ever holds all rows of an id, and copies of a stay or of a link add no pairs.
+Links whose id changes on their very day are looked at closer in the same way by minutes of the day,
+and only those whose id changes in their very minute by a running sum within (id, minute).  No task
+ever holds all rows of an id or of its day, and copies of a stay or of a link add no pairs.
 
 The cascade is a fixpoint: a record whose referenced record is an orphan is an orphan by
 inheritance; each round semi-joins the links with the ids orphaned in the round before.
@@ -105,25 +106,40 @@ def direct_orphans(links: DataFrame, stays: DataFrame) -> DataFrame:
     ends = held.where(F.col("until").isNotNull()).select("ref", F.col("until").alias("t"), F.lit(-1).alias("delta"))
     deltas = starts.unionByName(ends).groupBy("ref", "t").agg(F.sum("delta").cast("int").alias("delta"))
     deltas = deltas.withColumn("day", F.to_date("t"))
-    net = deltas.groupBy("ref", "day").agg(F.sum("delta").alias("net"))
-    per_id = net.groupBy("ref").agg(F.collect_list(F.struct("day", "net")).alias("days"))
-
-    asked = links.withColumn("day", F.to_date("at")).join(per_id, "ref", "left")
-    before = F.aggregate(F.filter("days", lambda x: x["day"] < F.col("day")), F.lit(0).cast("bigint"), lambda s, x: s + x["net"])
-    asked = asked.withColumns({"before": F.coalesce(before, F.lit(0)), "changes": F.coalesce(F.exists("days", lambda x: x["day"] == F.col("day")), F.lit(False)), "ever": F.col("days").isNotNull()})
-    asked = asked.drop("days")
+    asked = links.withColumns({"day": F.to_date("at"), "before": F.lit(0).cast("bigint"), "ever": F.lit(False)})
+    asked = _so_far(asked, deltas, [], "day")
     # most links see no change of their id on their own day
     gone = F.when(F.col("at").isNull(), ~F.col("ever")).otherwise(F.col("before") <= 0)
     plain = asked.where(~F.col("changes") & gone).select(*links.columns)
+    close = asked.where("changes").drop("changes").withColumn("minute", F.date_trunc("minute", "at").cast("timestamp_ntz"))
+    minutes = deltas.withColumn("minute", F.date_trunc("minute", "t").cast("timestamp_ntz"))
+    close = _so_far(close, minutes, ["day"], "minute")
+    settled = close.where(~F.col("changes") & (F.col("before") <= 0)).select(*links.columns)
 
     payload = F.struct(*[c for c in links.columns if c != "ref"])
-    same_day = asked.where("changes").select("ref", "day", F.col("at").cast("timestamp_ntz").alias("t"), F.lit(0).alias("delta"), "before", payload.alias("link"))
-    within = Window.partitionBy("ref", "day").orderBy("t").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    both = same_day.unionByName(
-        deltas.select("ref", "day", F.col("t").cast("timestamp_ntz").alias("t"), "delta", F.lit(None).cast("bigint").alias("before"), F.lit(None).cast(same_day.schema["link"].dataType).alias("link"))
+    same = close.where("changes").select("ref", "minute", F.col("at").cast("timestamp_ntz").alias("t"), F.lit(0).alias("delta"), "before", payload.alias("link"))
+    within = Window.partitionBy("ref", "minute").orderBy("t").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    both = same.unionByName(
+        minutes.select("ref", "minute", F.col("t").cast("timestamp_ntz").alias("t"), "delta", F.lit(None).cast("bigint").alias("before"), F.lit(None).cast(same.schema["link"].dataType).alias("link"))
     )
     counted = both.withColumn("so_far", F.sum("delta").over(within)).where(F.col("link").isNotNull() & (F.col("before") + F.col("so_far") <= 0))
-    return plain.unionByName(counted.select("ref", "link.*").select(*links.columns))
+    return plain.unionByName(settled).unionByName(counted.select("ref", "link.*").select(*links.columns))
+
+
+def _so_far(asked: DataFrame, deltas: DataFrame, within: list[str], unit: str) -> DataFrame:
+    """``before`` raised by the net change of each link's id in the units before its own, and whether its own unit ``changes`` it.
+
+    A link meets one row per id (and coarser unit), whose array has one entry per unit with a change.
+    """
+    net = deltas.groupBy("ref", *within, unit).agg(F.sum("delta").alias("net"))
+    per = net.groupBy("ref", *within).agg(F.collect_list(F.struct(F.col(unit).alias("u"), "net")).alias("units"))
+    met = asked.join(per, ["ref", *within], "left")
+    before = F.aggregate(F.filter("units", lambda x: x["u"] < F.col(unit)), F.lit(0).cast("bigint"), lambda s, x: s + x["net"])
+    return met.withColumns({
+        "before": F.col("before") + F.coalesce(before, F.lit(0)),
+        "changes": F.coalesce(F.exists("units", lambda x: x["u"] == F.col(unit)), F.lit(False)),
+        "ever": F.col("ever") | F.col("units").isNotNull(),
+    }).drop("units")
 
 
 def cascade(links: DataFrame, direct: DataFrame, max_rounds: int = 1000) -> DataFrame:

@@ -17,19 +17,21 @@ def _links(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def _orphans(spark: SparkSession, d: str) -> DataFrame:
+    """All orphaned references, direct and inherited."""
+    links = _links(spark, d)
+    return orphans.cascade(links, orphans.direct_orphans(links, orphans.node_stays(table(spark, d, "nodes"))))
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    """The seed of the cascade, for the edges."""
-    found = orphans.direct_orphans(
-        orphans.edge_links(table(spark, d, "edges")), orphans.node_stays(table(spark, d, "nodes"))
-    )
+    """The direct orphans of the edges."""
+    found = _orphans(spark, d).where("kind = 'direct' AND tbl = 'edges'")
     return found.select(F.col("record").alias("edge_id"), "endpoint").distinct()
 
 
 def p2_orphan_report(spark: SparkSession, d: str) -> DataFrame:
     """Direct and inherited orphans per table, endpoint and month."""
-    links = _links(spark, d)
-    direct = orphans.direct_orphans(links, orphans.node_stays(table(spark, d, "nodes")))
-    return orphans.report(orphans.cascade(links, direct))
+    return orphans.report(_orphans(spark, d))
 
 
 def p6_classes(spark: SparkSession, d: str) -> DataFrame:
