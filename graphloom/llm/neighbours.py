@@ -6,13 +6,14 @@ centre whose members are its neighbours and those that have it as a neighbour; m
 are compared with each other, and each keeps what beats its worst neighbour.  Only pairs with an
 edge that is new since the last round are compared.  Rounds end when few edges change.
 
-The descent compares vectors scaled to 64 small integers, whose products are exact; the lists it
-ends with are ranked by the cosine of the given numbers in double precision, rounded to ten
+The descent compares vectors scaled to 16-bit integers in double precision, in which their products
+are exact: near copies that differ by a ten-thousandth of their length are still told apart.  The
+lists it ends with are ranked by the cosine of the given numbers in double precision, rounded to ten
 decimals, ties to the smaller id.
 
 Exact copies form one class and take part once, so a vector with very many copies costs one; the
 smallest ids of a class stand in the lists for all of it.  The trees' planes are fitted on a sample
-of at most SAMPLE vectors; every vector is indexed.  Leaves that outgrow a block are cut into
+of at most SAMPLE vectors, which grows with their number up to there; every vector is indexed.  Leaves that outgrow a block are cut into
 blocks, centres with very many members into parts; no member is left out.
 
 Cases: vectors that are null, of another length, all zero or not finite take no part.  Of records
@@ -32,14 +33,16 @@ from graphloom.session import spill_table
 
 K = 32
 TREES = 8
-SAMPLE = 20_000
+SAMPLE = 200_000
+#: Vectors of the sample that a leaf of a tree is fitted on.
+FITTED = 16
 BLOCK = 1024
 PART = 96
 #: Best candidates that each member of a centre keeps of it.
 OFFERS = 12
 MAX_ROUNDS = 6
-#: The descent ends when fewer edges than this share of the vectors are new.
-FEW = 0.03
+#: The descent ends when among the first LOOKED of each list fewer edges than this share of the vectors are new.
+FEW, LOOKED = 0.03, 12
 
 #: Search: width of a beam, nodes expanded per round, nodes that walks start from, most rounds.
 BEAM = 48
@@ -101,7 +104,7 @@ def _quantise(batches: Iterator) -> Iterator:
     for batch in batches:
         if batch.num_rows:
             x = _matrix(batch.column(1), np.float32).astype(np.float64)
-            q = np.rint(x / np.abs(x).max(axis=1)[:, None] * 127).astype(np.int8)
+            q = np.rint(x / np.abs(x).max(axis=1)[:, None] * 32767).astype(np.int16)
             yield pa.RecordBatch.from_arrays([batch.column(0), _binary(q)], ["id", "q"])
 
 
@@ -109,8 +112,8 @@ def _similarities(q):
     """Cosines of small integers: exact products, hence the same wherever two rows meet."""
     import numpy as np
 
-    x = q.astype(np.float32)
-    dots = (x @ x.T).astype(np.float64)
+    x = q.astype(np.float64)
+    dots = x @ x.T
     lengths = np.sqrt(np.diag(dots).copy())
     sims = dots / (lengths[:, None] * lengths[None, :])
     np.fill_diagonal(sims, -2.0)
@@ -166,7 +169,7 @@ def _leaves(trees: list):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x = _matrix(batch.column(1), np.int8).astype(np.float32)
+            x = _matrix(batch.column(1), np.int16).astype(np.float32)
             x /= np.linalg.norm(x, axis=1)[:, None]
             for t, (planes, cuts, children) in enumerate(trees):
                 at = np.zeros(len(x), np.int64) if len(planes) else np.full(len(x), -1)
@@ -246,7 +249,7 @@ def _in_blocks(batches: Iterator) -> Iterator:
 
     for bounds, table in _groups(batches, 2):
         ids = table.column(2).to_numpy()
-        q = _matrix(table.column(3).combine_chunks(), np.int8)
+        q = _matrix(table.column(3).combine_chunks(), np.int16)
         out_a, out_b, out_s = [], [], []
         for lo, hi in zip(bounds, [*bounds[1:], table.num_rows]):
             if hi - lo > 1:
@@ -273,11 +276,12 @@ def first_graph(vectors: DataFrame, n: int) -> DataFrame:
     """(a, nbrs) from the blocks of the trees; vectors: (id, q)."""
     import numpy as np
 
-    sample = vectors.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("q").toPandas()["q"]
+    size = min(SAMPLE, max(20_000, FITTED * -(-n // BLOCK)))
+    sample = vectors.orderBy(F.xxhash64("id"), "id").limit(size).select("q").toPandas()["q"]
     if not len(sample):
         return vectors.select(F.col("id").alias("a"), F.array().cast(NEIGHBOURS).alias("nbrs")).limit(0)
-    matrix = np.frombuffer(b"".join(bytes(x) for x in sample), dtype=np.int8).reshape(len(sample), -1)
-    trees = fit_trees(matrix, min(-(-n // BLOCK), max(1, len(matrix) // 16)))
+    matrix = np.frombuffer(b"".join(bytes(x) for x in sample), dtype=np.int16).reshape(len(sample), -1)
+    trees = fit_trees(matrix, min(-(-n // BLOCK), max(1, len(matrix) // FITTED)))
     placed = vectors.mapInArrow(_leaves(trees), "id bigint, q binary, leaf bigint")
     sizes = placed.groupBy("leaf").agg(F.count("*").alias("n"))
     over = sizes.where(F.col("n") > 2 * BLOCK).select("leaf", F.ceil(F.col("n") / BLOCK).cast("bigint").alias("parts"))
@@ -300,7 +304,7 @@ def _local_join(batches: Iterator) -> Iterator:
         ids = table.column(2).to_numpy()
         fresh = table.column(3).to_numpy(zero_copy_only=False)
         floor = table.column(4).to_numpy()
-        q = _matrix(table.column(5).combine_chunks(), np.int8)
+        q = _matrix(table.column(5).combine_chunks(), np.int16)
         out_a, out_b, out_s = [], [], []
         for lo, hi in zip(bounds, [*bounds[1:], table.num_rows]):
             if hi - lo < 2 or not fresh[lo:hi].any():
@@ -356,7 +360,7 @@ def neighbour_graph(vectors: DataFrame) -> DataFrame:
     graph = spill_table(first_graph(vectors, n), "graph")
     for _ in range(MAX_ROUNDS):
         graph = spill_table(descend(graph, vectors), "graph")
-        fresh = graph.select(F.sum(F.size(F.filter("nbrs", lambda x: x["f"])))).first()[0] or 0
+        fresh = graph.select(F.sum(F.size(F.filter(F.slice("nbrs", 1, LOOKED), lambda x: x["f"])))).first()[0] or 0
         if fresh <= FEW * n:
             break
     return graph
@@ -373,11 +377,11 @@ def _against(entries: list[tuple[int, bytes]]):
         import pyarrow as pa
 
         ids = np.array([i for i, _ in entries], np.int64)
-        y = np.frombuffer(b"".join(q for _, q in entries), np.int8).reshape(len(entries), -1).astype(np.float32)
+        y = np.frombuffer(b"".join(q for _, q in entries), np.int16).reshape(len(entries), -1).astype(np.float32)
         y /= np.linalg.norm(y, axis=1)[:, None]
         for batch in batches:
             if batch.num_rows:
-                x = _matrix(batch.column(1), np.int8).astype(np.float32)
+                x = _matrix(batch.column(1), np.int16).astype(np.float32)
                 x /= np.linalg.norm(x, axis=1)[:, None]
                 for lo in range(0, len(x), 512):
                     s = x[lo : lo + 512] @ y.T
@@ -398,7 +402,7 @@ def _cosines(batches: Iterator) -> Iterator:
 
     for batch in batches:
         if batch.num_rows:
-            x, y = (_matrix(batch.column(i), np.int8).astype(np.float64) for i in (2, 3))
+            x, y = (_matrix(batch.column(i), np.int16).astype(np.float64) for i in (2, 3))
             s = (x * y).sum(axis=1) / np.sqrt((x * x).sum(axis=1) * (y * y).sum(axis=1))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(s)], ["query", "b", "s"])
 

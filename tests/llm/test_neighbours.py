@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 from graphloom.llm import neighbours
 
 
@@ -61,3 +62,18 @@ def test_graph_search(spark):
         want |= {(q, j) for j in sorted(range(1500), key=lambda j: (-s[j], j))[:10]}
     assert len(got & want) / len(want) >= 0.9
     assert neighbours.searched(e.limit(0), e.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("noise", [1e-2, 1e-3])
+def test_crowd_of_near_copies(spark, noise):
+    rng = np.random.default_rng(3)
+    centre = rng.normal(size=64)
+    x = np.concatenate([centre + noise * rng.normal(size=(400, 64)), rng.normal(size=(800, 64))]).astype(np.float32)
+    got = {(r.embedding_a, r.embedding_b) for r in neighbours.similar_pairs(frame(spark, [(i, [float(v) for v in row]) for i, row in enumerate(x)])).collect()}
+    y = x.astype(np.float64) / np.linalg.norm(x.astype(np.float64), axis=1)[:, None]
+    s = np.round(y @ y.T, 10)
+    np.fill_diagonal(s, -2)
+    best = np.lexsort((np.broadcast_to(np.arange(len(x)), s.shape), -s), axis=1)[:, :10]
+    wanted = {(min(i, j), max(i, j)) for i in range(len(x)) for j in best[i].tolist()}
+    crowd = {p for p in wanted if p[1] < 400}
+    assert len(crowd & got) >= 0.97 * len(crowd) and len(wanted & got) >= 0.95 * len(wanted)
