@@ -86,26 +86,100 @@ def behaviour_statistics(spark: SparkSession, d: str) -> DataFrame:
     return behaviours(spark, d).groupBy("label").agg(F.count("*").alias("n"), F.round(F.avg("score"), 3).alias("mean"), F.count_if(s > 0.7).alias("n_high"), F.count_if(s < 0.3).alias("n_low"))
 
 
-def _patterns_sql() -> str:
+def _listed_sql(rules: dict, part: int, most: int) -> str:
+    q = lambda x: x.replace("'", "''")
+    test = lambda x: f"regexp_matches(t, '{q(x)}')" if part == 1 else f"contains(t, '{q(x)}')"
+    each = " ".join(f"WHEN '{k}' THEN [" + ", ".join(f"CASE WHEN {test(x)} THEN '{q(x)}' END" for x in r[part]) + "]" for k, r in rules.items())
+    return f"array_to_string(list_filter(CASE label {each} END, lambda x: x IS NOT NULL)[1:{most}], ', ')"
+
+
+def _evidence_sql(of: str, rules: dict) -> str:
+    parts = ", ".join(f"{_listed_sql(rules, i, n)} AS {name}" for i, n, name in ((0, 3, "words"), (1, 2, "patterns"), (2, 2, "contexts")))
+    return f"""WITH {_FILES} SELECT c.file_id, label, {parts} FROM ({ORACLES[of]}) c JOIN (SELECT file_id, lower(coalesce(content, '')) AS t FROM files) f ON f.file_id = c.file_id WHERE label IS NOT NULL"""
+
+
+def _evidence(spark: SparkSession, d: str, rules: dict, weights: tuple) -> DataFrame:
+    f = _files(spark, d, "content")
+    rows = classify.best(classify.scores(f, F.col("content"), F.regexp_extract("path", "([^/]*)$", 1), rules, weights)).where("label IS NOT NULL")
+    return classify.evidence(rows, F.col("content"), F.col("label"), rules).select("file_id", "label", "words", "patterns", "contexts")
+
+
+@query(_evidence_sql("intents", classify.INTENTS))
+def intent_evidence(spark: SparkSession, d: str) -> DataFrame:
+    """What speaks for the intent of each file."""
+    return _evidence(spark, d, classify.INTENTS, classify.INTENT_WEIGHTS)
+
+
+@query(_evidence_sql("behaviours", classify.BEHAVIOURS))
+def behaviour_evidence(spark: SparkSession, d: str) -> DataFrame:
+    return _evidence(spark, d, classify.BEHAVIOURS, classify.BEHAVIOUR_WEIGHTS)
+
+
+def _all_scores_sql(rules: dict, weights: tuple) -> str:
+    each = ", ".join(f"{classify.sql_score('t', 'n', r, k, weights)} AS s_{k}" for k, r in rules.items())
+    return f"""{_FILES}, s AS (SELECT file_id, {each} FROM (SELECT file_id, lower(coalesce(content, '')) AS t, lower(regexp_extract(path, '([^/]*)$', 1)) AS n FROM files))"""
+
+
+@query(
+    "WITH " + _all_scores_sql(classify.BEHAVIOURS, classify.BEHAVIOUR_WEIGHTS) + ", r AS (SELECT file_id, list_filter(["
+    + ", ".join(f"CASE WHEN s_{k} > {bound} THEN '{text}' END" for k, bound, text in classify.RISKS) + "], lambda x: x IS NOT NULL) AS risks, list_filter(["
+    + ", ".join(f"CASE WHEN s_{k} > {bound} THEN '{text}' END" for k, bound, text in classify.ADVICE) + "], lambda x: x IS NOT NULL) AS advice, "
+    + "list_filter([" + ", ".join(f"CASE WHEN s_{k} > 0.5 THEN s_{k} END" for k in classify.BEHAVIOURS) + "], lambda x: x IS NOT NULL) AS high, greatest(" + ", ".join(f"s_{k}" for k in classify.BEHAVIOURS) + ") AS top FROM s) "
+    + f"SELECT file_id, array_to_string(risks, '; ') AS risks, array_to_string(CASE WHEN len(risks) > 3 THEN list_append(advice, '{classify.MANY_RISKS}') ELSE advice END, '; ') AS advice, "
+    + f"round(least(1.0, len(high) / {len(classify.BEHAVIOURS)} + 0.3 * top), 6) AS confidence FROM r"
+)
+def behaviour_risks(spark: SparkSession, d: str) -> DataFrame:
+    """Risks and advice of each file, and how sure its behaviours are."""
+    f = _files(spark, d, "content")
+    s = classify.scores(f, F.col("content"), F.regexp_extract("path", "([^/]*)$", 1), classify.BEHAVIOURS, classify.BEHAVIOUR_WEIGHTS)
+    rows = s.select("file_id", "scores", classify.said_of(F.col("scores"), classify.RISKS).alias("r"), classify.said_of(F.col("scores"), classify.ADVICE).alias("a"))
+    advice = F.when(F.size("r") > 3, F.array_append("a", F.lit(classify.MANY_RISKS))).otherwise(F.col("a"))
+    high = F.size(F.filter("scores", lambda x: x["score"] > 0.5)) / F.lit(len(classify.BEHAVIOURS))
+    sure = F.round(F.least(F.lit(1.0), high + 0.3 * F.array_max("scores")["score"]), 6)
+    return rows.select("file_id", F.array_join("r", "; ").alias("risks"), F.array_join(advice, "; ").alias("advice"), sure.alias("confidence"))
+
+
+def _roles_sql() -> str:
     roles = " UNION ALL ".join(
-        f"SELECT '{p}' AS pattern, '{r}' AS role, id FROM m WHERE regexp_matches(lower(name), '{rx}')" for p, (rs, _) in classify.PATTERNS.items() for r, rx in rs.items()
+        f"SELECT '{p}' AS pattern, '{r}' AS role, id, regexp_matches(lower(name), '({ends})$') AS named FROM nodes_now WHERE regexp_matches(lower(name), '{rx}')" for p, (rs, _, ends) in classify.PATTERNS.items() for r, rx in rs.items()
     )
-    wanted = ", ".join(f"('{p}', '{s}', '{t}')" for p, (_, ls) in classify.PATTERNS.items() for s, t in ls)
-    sizes = ", ".join(f"('{p}', {len(rs)}, {len(ls)})" for p, (rs, ls) in classify.PATTERNS.items())
-    return f"""WITH m AS (SELECT id, name FROM nodes_now WHERE type IN ('class', 'component', 'service', 'model', 'controller', 'view')), r AS ({roles}),
-per AS (SELECT pattern, count(*) AS present, min(n) AS least, max(n) AS most, CAST(sum(n) AS BIGINT) AS n_members FROM (SELECT pattern, role, count(*) AS n FROM r GROUP BY 1, 2) GROUP BY 1),
-hits AS (SELECT a.pattern, count(*) AS n_links, count(DISTINCT a.role || '>' || b.role) AS kinds FROM links_now l JOIN r a ON a.id = l.source JOIN r b ON b.id = l.target AND b.pattern = a.pattern
-  JOIN (VALUES {wanted}) w(p, s, t) ON w.p = a.pattern AND w.s = a.role AND w.t = b.role GROUP BY 1)
-SELECT per.pattern, n_members, coalesce(n_links, 0) AS n_links,
-round(least(1.0, 0.4 * present / z.roles + 0.3 * least(1.0, coalesce(kinds, 0) / z.links) + 0.2 * least / most + 0.1), 6) AS confidence
-FROM per JOIN (VALUES {sizes}) z(p, roles, links) ON z.p = per.pattern LEFT JOIN hits ON hits.pattern = per.pattern"""
+    wanted = ", ".join(f"('{p}', '{s}', '{t}')" for p, (_, ls, _) in classify.PATTERNS.items() for s, t in ls)
+    return f"""r AS ({roles}), w(p, s, t) AS (VALUES {wanted}),
+met AS (SELECT a.pattern, a.role AS s, b.role AS t, count(*) AS n FROM links_now l JOIN r a ON a.id = l.source JOIN r b ON b.id = l.target AND b.pattern = a.pattern
+  JOIN w ON w.p = a.pattern AND w.s = a.role AND w.t = b.role GROUP BY ALL)"""
 
 
-@query(_patterns_sql(), "nodes_now", "links_now")
+@query(
+    "WITH " + _roles_sql() + ", z(p, roles, links) AS (VALUES " + ", ".join(f"('{p}', {len(rs)}, {len(ls)})" for p, (rs, ls, _) in classify.PATTERNS.items()) + """),
+per AS (SELECT pattern, count(*) AS present, min(n) AS least, max(n) AS most, CAST(sum(n) AS BIGINT) AS n_members, sum(k) AS n_named FROM (SELECT pattern, role, count(*) AS n, count_if(named) AS k FROM r GROUP BY 1, 2) GROUP BY 1),
+hits AS (SELECT pattern, CAST(sum(n) AS BIGINT) AS n_links, count(*) AS kinds FROM met GROUP BY 1)
+SELECT per.pattern, n_members, coalesce(n_links, 0) AS n_links,
+round(least(1.0, 0.4 * present / z.roles + CASE WHEN z.links > 0 THEN 0.3 * coalesce(kinds, 0) / z.links ELSE 0 END + 0.2 * least / most + 0.1 * n_named / n_members), 6) AS confidence
+FROM per JOIN z ON z.p = per.pattern LEFT JOIN hits ON hits.pattern = per.pattern""",
+    "nodes_now", "links_now",
+)
 def architectural_patterns(spark: SparkSession, d: str) -> DataFrame:
     return classify.patterns(nodes_now(spark, d), links_now(spark, d))
 
 
+@query(
+    "WITH " + _roles_sql() + ", e(p, r) AS (VALUES " + ", ".join(f"('{p}', '{r}')" for p, (rs, _, _) in classify.PATTERNS.items() for r in rs) + """)
+SELECT p AS pattern, 'Missing ' || e.r || ' components' AS missing, 'Add missing components to complete ' || p || ' pattern' AS advice FROM e
+WHERE p IN (SELECT pattern FROM r) AND NOT EXISTS (SELECT 1 FROM r WHERE r.pattern = e.p AND r.role = e.r)
+UNION ALL SELECT p, 'Missing ' || s || ' -> ' || t || ' relationships', 'Establish missing relationships for ' || p || ' pattern' FROM w
+WHERE EXISTS (SELECT 1 FROM r WHERE r.pattern = w.p AND r.role = w.s) AND EXISTS (SELECT 1 FROM r WHERE r.pattern = w.p AND r.role = w.t) AND NOT EXISTS (SELECT 1 FROM met WHERE met.pattern = w.p AND met.s = w.s AND met.t = w.t)""",
+    "nodes_now", "links_now",
+)
+def pattern_violations(spark: SparkSession, d: str) -> DataFrame:
+    return classify.violations(nodes_now(spark, d), links_now(spark, d))
+
+
+@query("WITH " + _roles_sql() + " SELECT pattern, role, count(*) AS n, min(id) AS first_id, CAST(count_if(named) AS BIGINT) AS n_named FROM r GROUP BY 1, 2", "nodes_now", "links_now")
+def pattern_components(spark: SparkSession, d: str) -> DataFrame:
+    """The nodes that play each role of a pattern."""
+    return classify.roles(nodes_now(spark, d)).groupBy("pattern", "role").agg(F.count("*").alias("n"), F.min("id").alias("first_id"), F.count_if("named").alias("n_named"))
+
+
 # names and scalar functions
 
 
