@@ -162,13 +162,6 @@ def property_injection(spark: SparkSession, d: str) -> DataFrame:
     return inference.property_injection(symbols.lines(_files(spark, d, "content")))
 
 
-@query()
-def constructor_injection(spark: SparkSession, d: str) -> DataFrame:
-    """Providers by how many constructors take them."""
-    c = inference.constructor_injection(symbols.lines(_files(spark, d, "content")))
-    return c.groupBy("provider").agg(F.count("*").alias("n"), F.countDistinct("file_id").alias("n_files"))
-
-
 def queries():
     return dict(QUERIES)
 
