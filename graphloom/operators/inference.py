@@ -83,9 +83,9 @@ def type_category(name: Column) -> Column:
     )
 
 
-def adjusted_confidence(confidence: Column, n_evidence: Column, annotated: Column, category: Column) -> Column:
+def adjusted_confidence(confidence: Column, n_evidence: Column, annotated: Column, category: Column, digits: int = 2) -> Column:
     raised = confidence + F.when(annotated, 0.2).otherwise(0.0) + F.least(F.lit(0.15), 0.05 * n_evidence)
-    return F.round(F.least(F.lit(1.0), F.when(category == "unknown", raised * 0.5).otherwise(raised)), 2)
+    return F.round(F.least(F.lit(1.0), F.when(category == "unknown", raised * 0.5).otherwise(raised)), digits)
 
 
 def compatible(a: Column, b: Column, b_nullable: Column) -> Column:

@@ -1,8 +1,9 @@
 import datetime as dt
 import json
+import random
 
 import pytest
-from graphloom.operators import features, inference, lineage, modules, scoring, symbols, traversal, vectors, views
+from graphloom.operators import features, flows, inference, lineage, modules, propagation, scoring, symbols, traversal, vectors, views
 from graphloom.sources import exports, projects
 from pyspark.sql import functions as F
 
@@ -153,3 +154,40 @@ def test_centroids_and_groups(spark):
     assert near.other_id == 4
     c = vectors.centroids(v, vectors.clusters(v.select("id", "v"), 0.97)).first()
     assert (c.label, c.n) == (1, 3) and 0.98 < c.confidence < 1
+
+
+def test_spread_and_as_of(spark):
+    rng = random.Random(4)
+    links = sorted({(rng.randint(0, 60), rng.randint(0, 60)) for _ in range(90)})
+    typed = [(n, f"t{n % 3}", 0.5) for n in (1, 2, 3, 40)] + [(1, "t0", 0.9)]
+    wanted = {n: (t, 0, c) for n, t, c in [(1, "t0", 0.9), (2, "t2", 0.5), (3, "t0", 0.5), (40, "t1", 0.5)]}
+    for depth in range(1, 70):
+        near = {}
+        for s, t in links:
+            if s in wanted and wanted[s][1] == depth - 1 and t not in wanted:
+                near.setdefault(t, []).append((wanted[s][0], -wanted[s][2] * 0.5))
+        wanted |= {t: (min(o)[0], depth, -min(o)[1]) for t, o in near.items()}
+    got = propagation.spread(spark.createDataFrame(typed, "node int, type string, confidence double"), spark.createDataFrame(links, "src int, dst int"), 0.5).collect()
+    assert {r.node: (r.type, r.distance, r.confidence) for r in got} == wanted and len(got) == len(wanted)
+    said = spark.createDataFrame([("a", 3, "x"), ("a", 7, "y"), ("b", 1, "z")], "k string, line int, v string")
+    asked = spark.createDataFrame([("a", 2), ("a", 3), ("a", 6), ("a", 9), ("b", 0), ("c", 5)], "k string, line int")
+    assert {(r.k, r.line): (r.v, r.at) for r in propagation.as_of(asked, said, ["k"], "line", "v").collect()} == {
+        ("a", 2): (None, None), ("a", 3): ("x", 3), ("a", 6): ("x", 3), ("a", 9): ("y", 7), ("b", 0): (None, None), ("c", 5): (None, None),
+    }
+
+
+def test_flows_hooks_and_python_imports(spark):
+    text = "export function Panel() {\n  const [a, setA] = useState(0);\n  const b = a;\n  useEffect(() => {\n    setA(b);\n  }, [a, b]);\n  useMemo(() => {\n  }, []);\n  const { x, y: z } = b;\n  go(a, b.c);\n  return b;\n}"
+    py = "from .near import one, two as three\nfrom ..far.off import (x)\nimport os.path as p\nfrom pkg import y\n"
+    files = spark.createDataFrame([(1, "p/src/a.tsx", text), (2, "p/src/m/b.py", py), (3, "p/src/m/near.py", ""), (4, "p/src/far/off/__init__.py", None), (5, "p/pkg.py", "")], "file_id int, path string, content string")
+    lines = symbols.lines(files)
+    got = {(r.flow, r.source, r.target) for r in flows.flows(lines).collect()}
+    assert got >= {("assignment", "a", "b"), ("destructuring", "b", "x"), ("destructuring", "b", "z"), ("argument", "a", "go"), ("argument", "b.c", "go"), ("return", "b", "return"), ("array_destructuring", "useState", "setA"), ("state_update", "b", "A")}
+    assert {(r.line, r.hook, r.component, tuple(r.dependencies) if r.dependencies is not None else None) for r in flows.hooks(lines).collect()} == {
+        (2, "useState", "Panel", None), (4, "useEffect", "Panel", ("a", "b")), (7, "useMemo", "Panel", ()),
+    }
+    i = flows.python_targets(flows.python_imports(lines), files.select("path"))
+    assert {(r.line, r.level, r.module, r.names, r.target) for r in i.collect()} == {
+        (1, 1, "near", "one,two", "p/src/m/near.py"), (2, 2, "far.off", "x", "p/src/far/off/__init__.py"), (3, 0, "os.path", "", None), (4, 0, "pkg", "y", "p/pkg.py"),
+    }
+    assert flows.flows(lines.limit(0)).count() == 0 and flows.hooks(lines.limit(0)).count() == 0

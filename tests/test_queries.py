@@ -4,9 +4,9 @@ import os
 
 import duckdb
 import pytest
-from graphloom import queries_code, queries_export, queries_flows, queries_general, queries_graph, queries_symbols, queries_views
+from graphloom import queries_code, queries_export, queries_flows, queries_general, queries_graph, queries_rules, queries_symbols, queries_views
 
-MODULES = (queries_general, queries_graph, queries_code, queries_symbols, queries_export, queries_views, queries_flows)
+MODULES = (queries_general, queries_graph, queries_code, queries_symbols, queries_export, queries_views, queries_flows, queries_rules)
 ALL = {k: v for m in MODULES for k, v in m.queries().items()}
 SQL = {k: v for m in MODULES for k, v in m.oracle_sql().items()}
 
