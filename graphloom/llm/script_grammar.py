@@ -7,6 +7,8 @@ block, object, ...) by the grammar around it.  Answers are kept per group and ro
 
 from __future__ import annotations
 
+import re
+
 from .lexers import (
     ALL_OPEN, ARROW, ASSIGN, BINARY, CHILD_OPEN, COALESCE, END, IDENT, INCREMENT, JS_CONTEXTUAL, JS_RESERVED, JS_WORDS, JSX_OPEN,
     LOGICAL, NEWLINE, NUMBER, OPTIONAL, POWER, PRIVATE, REGEX, SPREAD, STRING, SUBST_OPEN, TEMPLATE, TEMPLATE_OPEN, VALUE_OPEN, Broken,
@@ -27,6 +29,9 @@ TYPE_WORDS = frozenset(W[w] for w in "void null this true false".split())
 AS = frozenset((W["as"], W["satisfies"]))
 
 
+_PACKAGE = re.compile(r"(?:\s|//[^\n]*\n|/\*[\s\S]*?\*/)*+package[ \t]+[A-Za-z_$]").match
+
+
 class Script:
     """One dialect: with or without TypeScript, with or without JSX."""
 
@@ -40,6 +45,8 @@ class Script:
 
     def parse(self, text: str) -> Tokens:
         """The tokens of a valid module."""
+        if _PACKAGE(text):  # two names in a row begin no statement, whatever follows
+            raise Broken("unexpected token", 0)
         tokens, flat = self.lexed.of(text, self.groups, self.jsx)
         _Level(self, flat).run("module")
         return tokens

@@ -1,8 +1,7 @@
 """Source files that do not parse (problem 3).
 
-Every file is parsed with all grammars, in the order in which its tokens rank the languages.  One that
-the grammar of its extension refuses has a wrong extension if another accepts it, named by the first
-that does; a file that none accepts is corrupt; one that languages of several kinds accept is
+Every file is parsed with all grammars.  One that the grammar of its extension refuses has a wrong
+extension if others accept it, named by the one of them that its tokens rank first; a file that none accepts is corrupt; one that languages of several kinds accept is
 ambiguous.  Dialects of one family share the lexing of a text and what is known of its bracket
 groups.  Python is parsed by the interpreter's own parser, which must be 3.13 or later, the others by
 the grammars of script_grammar and java_grammar.
@@ -76,9 +75,9 @@ class Parsers:
             raise
 
     def accepting(self, text: str) -> tuple[list[str], dict[str, str], bool]:
-        """The languages whose grammar accepts the text, best ranked first, why others don't, and whether all could tell."""
+        """The languages whose grammar accepts the text, why others don't, and whether all could tell."""
         found, errors, sure = [], {}, True
-        for language in ranked(text):
+        for language in LANGUAGES:
             try:
                 self.parse(language, text)
                 found.append(language)
@@ -98,7 +97,9 @@ class Parsers:
             return True, None, None, len(kinds) > 1
         if not sure and not found:
             return None, None, errors[language], False
-        return False, found[0] if found else None, errors[language], len(kinds) > 1
+        # the rank of a text's tokens says which of several is meant
+        other = next((x for x in ranked(text) if x in found), None) if found else None
+        return False, other, errors[language], len(kinds) > 1
 
 
 def ranked(text: str) -> list[str]:
