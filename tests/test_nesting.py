@@ -1,7 +1,9 @@
 import json
 import random
 
-from graphloom.operators import nesting
+import numpy as np
+from graphloom.operators import json_buffers, nesting
+from graphloom.operators.nesting import NESTS, SCALARS
 
 SCHEMA = "file_id bigint, classes string, root_id string, child_id string"
 
@@ -11,9 +13,55 @@ def links(spark, texts):
     return {(r.root_id, r.parent_id, r.child_id) for r in nesting.class_links(df).collect()}
 
 
+# a recursive version, object by object
+
+
+def opened(value, depth: int = 0):
+    """The value, with JSON text replaced by what it holds."""
+    while isinstance(value, str) and depth < 16:
+        text = value.strip()
+        if not text or text[0] not in '[{"':
+            return value
+        try:
+            value = json.loads(text)
+        except (ValueError, RecursionError):
+            return value
+        depth += 1
+    return value
+
+
+def as_id(value) -> str | None:
+    if value is None or isinstance(value, (bool, dict, list)):
+        return None
+    text = str(value)
+    return text if text.strip() else None
+
+
+def kinded(value, key: str | None = None, kind: str = "classes") :
+    """(id, object, the list it is of) of each object directly in ``value``."""
+    value = opened(value)
+    if isinstance(value, list):
+        return [m for v in value for m in kinded(v, kind=kind)]
+    if not isinstance(value, dict):
+        return []
+    if any(k in value and not isinstance(value[k], (dict, list)) for k in SCALARS):
+        own = as_id(value.get("id"))
+        return [(own if own is not None else key, value, kind)]
+    if any(k in value for k in NESTS):  # a wrapper, or an object of which only its key is left
+        if key is None:
+            return [m for k in NESTS for m in kinded(value.get(k), kind=k)]
+        return [(key, value, kind)]
+    return [m for k, v in value.items() for m in kinded(v, k, kind)]
+
+
+def members(value, key: str | None = None) :
+    """(id, object) of each object directly in ``value``."""
+    return [(own, obj) for own, obj, _ in kinded(value, key)]
+
+
 def brute(i, value, parent):
     out = set()
-    for own, obj in nesting.members(value):
+    for own, obj in members(value):
         if own is not None:
             out.add((str(i), parent, own))
         for k in ("classes", "methods"):
@@ -78,3 +126,44 @@ def test_tables(spark):
     ]
     nodes = spark.createDataFrame([(1, "n", json.dumps({"location": [{"file": "a", "line_start": 1}, {"file": "a", "line_start": "2", "line_end": 3.0, "column_end": 4}]}))], "ord bigint, id string, metadata string")
     assert rows(nesting.locations(nodes), ("ord", "location_key", "node_id", *nesting.PLACE)) == [(1, "1/0", "n", "a", "1", None, None, None), (1, "1/1", "n", "a", "2", "3", None, "4")]
+
+
+def built(v, i):
+    kids = v.children[i].as_py()
+    if v.kind[i] == json_buffers.OBJECT:
+        return {v.keys[c].as_py(): built(v, c) for c in kids}
+    if v.kind[i] == json_buffers.LIST:
+        return [built(v, c) for c in kids]
+    return v.text_of(np.array([i]))[0].as_py() if v.kind[i] == json_buffers.STRING else json.loads(v.source_of(i))
+
+
+def test_values_against_the_json_module():
+    rng = random.Random(1)
+
+    def make(depth):
+        r = rng.random()
+        if depth and r < 0.35:
+            return {rng.choice(["id", 'b"q', "é\\", "x:y", ""]) + str(rng.randint(0, 3)): make(depth - 1) for _ in range(rng.randint(0, 4))}
+        if depth and r < 0.65:
+            return [make(depth - 1) for _ in range(rng.randint(0, 4))]
+        return rng.choice([1, -2.5, True, None, "s", 'q"}]{[,:', "\\", '\\"', "日本\n\t", "", 1e10])
+
+    texts = ["", "  ", "null", '"a"', '{"a":1,"a":2}', '{"a":{"b":1},"a":{"c":[2]}}', "[1,]", "[,1]", "{,}", '{"a"}', '{"a":}', "[] []", "[1 2]", "{]", "[}", "01", "nul", "1.", '"\t"', '"\\x"', '"\\u12"', "\ufeff[]", '["a\\\\"]']
+    for _ in range(1500):
+        t = json.dumps(make(5), ensure_ascii=rng.random() < 0.5, indent=rng.choice([None, 2]))
+        r = rng.random()
+        if r < 0.15:
+            t = t[: rng.randint(0, len(t) - 1)]
+        elif r < 0.4:
+            i = rng.randint(0, len(t) - 1)
+            t = t[:i] + rng.choice(list('{}[],:"\\ x0')) + t[i + rng.randint(0, 1) :]
+        texts.append(t)
+    v = json_buffers.Values([t.encode() for t in texts])
+    for i, t in enumerate(texts):
+        try:
+            wanted = json.loads(t)
+        except ValueError:
+            assert v.roots[i] < 0, t
+        else:
+            assert v.roots[i] >= 0 and built(v, v.roots[i]) == wanted, t
+    assert len(json_buffers.Values([])) == 0 and len(json_buffers.Values([b""])) == 0
