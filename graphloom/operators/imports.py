@@ -27,12 +27,14 @@ def imported_names(clause: Column) -> Column:
     return F.filter(parts, lambda x: x != "")
 
 
-def collapsed(path: Column, times: int = 6) -> Column:
-    """The path without ./ and ../ steps."""
-    out = F.regexp_replace(path, r"/(\./)+", "/")
-    for _ in range(times):
-        out = F.regexp_replace(out, r"(^|/)(?!\.\./)[^/]+/\.\./", "$1")
-    return out
+def collapsed(path: Column) -> Column:
+    """The path without ./ and ../ steps, however many; steps above its start stay."""
+
+    def step(held: Column, x: Column) -> Column:
+        up = (x == "..") & (F.size(held) > 0) & (F.element_at(held, -1) != "..")
+        return F.when(x == ".", held).when(up, F.slice(held, F.lit(1), F.size(held) - 1)).otherwise(F.array_append(held, x))
+
+    return F.array_join(F.aggregate(F.split(path, "/"), F.array().cast("array<string>"), step), "/")
 
 
 def resolve(imports: DataFrame, files: DataFrame) -> DataFrame:

@@ -42,14 +42,17 @@ def commonjs_exports(files: DataFrame) -> DataFrame:
 
 
 def aliased(module: Column, aliases: DataFrame, df: DataFrame) -> DataFrame:
-    """df with ``module`` rewritten by the longest alias that is its prefix; aliases are few per project."""
-    a = aliases.select(F.col("alias"), F.col("target").alias("_to"))
-    hit = (module == F.col("alias")) | F.startswith(module, F.concat("alias", F.lit("/")))
-    joined = df.join(F.broadcast(a), hit, "left")
-    rest = F.substr(module, F.char_length("alias") + 1)
+    """df with ``module`` rewritten by the longest alias that is one of its leading parts; aliases: (alias, target)."""
     keys = [c for c in df.columns]
-    best = joined.groupBy(*keys).agg(F.max_by(F.concat("_to", rest), F.char_length("alias")).alias("_new"))
-    return best.withColumn("module", F.coalesce("_new", "module")).select(*keys)
+    steps = F.split(module, "/")
+    heads = F.transform(F.sequence(F.lit(1), F.size(steps)), lambda i: F.array_join(F.slice(steps, F.lit(1), i), "/"))
+    each = df.select(*keys, F.explode(heads).alias("alias"))
+    hits = each.join(aliases.select("alias", F.col("target").alias("_to")), "alias")
+    rest = F.substr(module, F.char_length("alias") + 1)
+    best = hits.groupBy(*keys).agg(F.max_by(F.concat("_to", rest), F.char_length("alias")).alias("_new"))
+    same = [F.col(f"d.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys]
+    joined = df.alias("d").join(best.alias("b"), same, "left")
+    return joined.select(*(F.coalesce("b._new", "d.module").alias(k) if k == "module" else F.col(f"d.{k}").alias(k) for k in keys))
 
 
 def in_node_modules(bare: DataFrame, files: DataFrame) -> DataFrame:

@@ -17,31 +17,30 @@ def located(links: DataFrame, nodes: DataFrame) -> DataFrame:
     return links.join(s, "source", "left").join(t, "target", "left")
 
 
-def _issue(rows: DataFrame, issue_type: str, severity: str) -> DataFrame:
-    return rows.select("edge_id", F.lit(issue_type).alias("issue_type"), F.lit(severity).alias("severity"))
-
-
 def edge_issues(links: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(edge_id, issue_type, severity) of every finding."""
+    """(edge_id, issue_type, severity) of every finding.
+
+    The located links are read once for the pairs of files with an import and once for the findings,
+    which are one array per link.
+    """
     e = located(links, nodes)
-    calls = e.where(F.col("type").isin("calls", "async_calls"))
-    renders = e.where(F.col("type") == "renders")
-    crossing = e.where(F.col("type").isin(*CROSSING) & (F.col("source_file") != F.col("target_file")))
-    imported = e.where(F.col("type").isin(*IMPORTING)).select("source_file", "target_file").where("source_file IS NOT NULL AND target_file IS NOT NULL").distinct()
-    parts = [
-        _issue(e.where("source_type IS NULL"), "missing_source_node", "error"),
-        _issue(e.where("target_type IS NULL"), "missing_target_node", "error"),
-        _issue(crossing.join(imported, ["source_file", "target_file"], "left_anti"), "missing_import", "warning"),
-        _issue(renders.where("source = target"), "self_referencing_render", "error"),
-        _issue(renders.where("source <> target AND source_type <> 'component'"), "render_source_not_component", "warning"),
-        _issue(renders.where("source <> target AND target_type <> 'component'"), "render_target_not_component", "info"),
-        _issue(calls.where("source = target"), "self_call", "error"),
-        _issue(calls.where((F.col("source") != F.col("target")) & ~F.col("target_type").isin(*CALLABLE)), "call_target_not_callable", "warning"),
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    files = ["source_file", "target_file"]
+    imported = e.where(F.col("type").isin(*IMPORTING) & F.col("source_file").isNotNull() & F.col("target_file").isNotNull()).select(*files).distinct()
+    known = e.join(imported.withColumn("imported", F.lit(True)), files, "left")
+    render, call, own = F.col("type") == "renders", F.col("type").isin("calls", "async_calls"), F.col("source") == F.col("target")
+    crossing = F.col("type").isin(*CROSSING) & (F.col("source_file") != F.col("target_file"))
+    rules = (
+        (F.col("source_type").isNull(), "missing_source_node", "error"),
+        (F.col("target_type").isNull(), "missing_target_node", "error"),
+        (crossing & F.col("imported").isNull(), "missing_import", "warning"),
+        (render & own, "self_referencing_render", "error"),
+        (render & ~own & (F.col("source_type") != "component"), "render_source_not_component", "warning"),
+        (render & ~own & (F.col("target_type") != "component"), "render_target_not_component", "info"),
+        (call & own, "self_call", "error"),
+        (call & ~own & ~F.col("target_type").isin(*CALLABLE), "call_target_not_callable", "warning"),
+    )
+    each = F.array(*(F.when(c, F.struct(F.lit(k).alias("issue_type"), F.lit(s).alias("severity"))) for c, k, s in rules))
+    return known.select("edge_id", F.inline(F.filter(each, lambda x: x.isNotNull())))
 
 
 def orphaned_nodes(links: DataFrame, nodes: DataFrame) -> DataFrame:

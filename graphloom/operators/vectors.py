@@ -7,7 +7,7 @@ The join by a least cosine is exact and compares no pair that can't match.  Pivo
 into cells; a row is kept in the cell of its nearest pivot and is looked up in each cell whose pivot
 is no farther than its own pivot plus twice the angle of the threshold, which by the triangle
 inequality of angles is every cell that can hold a match.  Crowded cells are cut into blocks; no row
-is left out.  Exact copies are one class, so copies are never paired with each other.
+is left out.  A block gives one row per class instead of its links.  Exact copies are one class, so copies are never paired with each other.
 """
 
 from __future__ import annotations
@@ -26,12 +26,13 @@ BLOCK = 2048
 PIVOTS = 64
 
 
-def usable(df: DataFrame, key: str, vec: str, dims: int = 64) -> DataFrame:
-    """(id, v): finite vectors of the right length that aren't all zero; one per id."""
-    e = F.col(vec)
+def usable(df: DataFrame, key: str, vec: str, dims: int = 64, order: str | None = None) -> DataFrame:
+    """(id, v): of each id the latest vector, by ``order`` and then by its numbers, if it is finite, of the right length and not all zero."""
+    e = F.col("v")
     good = (F.size(e) == dims) & F.forall(e, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists(e, lambda x: x != 0)
-    rows = df.where(e.isNotNull()).where(good).select(F.col(key).cast("bigint").alias("id"), e.cast("array<double>").alias("v"))
-    return rows.groupBy("id").agg(F.min("v").alias("v"))
+    at = F.col(order) if order else F.lit(0)
+    rows = df.where(F.col(vec).isNotNull()).select(F.col(key).cast("bigint").alias("id"), F.col(vec).cast("array<double>").alias("v"), at.alias("at"))
+    return rows.groupBy("id").agg(F.max_by("v", F.struct("at", "v")).alias("v")).where(good)
 
 
 def unit(v):
@@ -116,51 +117,11 @@ def _cells(pivots, theta: float):
     return run
 
 
-def _pairs_in_block(least: float):
-    def run(table):
-        import numpy as np
-        import pyarrow as pa
-
-        left = table.column("left").to_numpy(zero_copy_only=False).astype(bool)
-        ids, x = table.column("id").to_numpy(), _unit_rows(_stack(table.column("v")))
-        a, b = np.flatnonzero(left), np.flatnonzero(~left)
-        out = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
-        for lo in range(0, len(a), 512):
-            part = a[lo : lo + 512]
-            i, j = np.nonzero(np.round(x[part] @ x[b].T, 10) >= least)
-            p, q = ids[part[i]], ids[b[j]]
-            out.append((np.minimum(p, q)[p != q], np.maximum(p, q)[p != q]))
-        p, q = (np.concatenate(z) for z in zip(*out))
-        return pa.table({"a": pa.array(p, pa.int64()), "b": pa.array(q, pa.int64())})
-
-    return run
-
-
-def similar_classes(vectors: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
-    """Pairs (a, b) of class representatives with a cosine of at least so much, and members (id, rep)."""
-    import numpy as np
+def _roots_in_block(least: float, cells: bool = False):
+    """(id, root, n): for each row with a link in the block, the smallest row it is connected with there, and its links.
 
-    theta = math.acos(max(-1.0, min(1.0, least)))
-    reps = cut(vectors.groupBy("v").agg(F.min("id").alias("id")).select("id", "v"))
-    members = vectors.join(reps.withColumnRenamed("id", "rep"), "v").select("id", "rep")
-    # a bounded sample only chooses the pivots; every row is placed and looked up
-    sample = reps.orderBy(F.xxhash64("id"), "id").limit(PIVOTS).select("v").toPandas()["v"]
-    if not len(sample):
-        return reps.select(F.col("id").alias("a"), F.col("id").alias("b")), members
-    pivots = _unit_rows(np.array(sample.tolist(), dtype=np.float64))
-    placed = cut(reps.mapInArrow(_cells(pivots, theta), "id bigint, v array<double>, cell int, home boolean"))
-    n = placed.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
-    sized = placed.join(F.broadcast(n), "cell")  # as many rows as pivots
-    block = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
-    every = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-    left = sized.where("home").select("cell", "id", "v", F.lit(True).alias("left"), block.alias("i"), every.alias("j"))
-    right = sized.select("cell", "id", "v", F.lit(False).alias("left"), every.alias("i"), block.alias("j"))
-    pairs = left.unionByName(right).groupBy("cell", "i", "j").applyInArrow(_pairs_in_block(least), "a bigint, b bigint").distinct()
-    return cut(pairs), members
-
-
-def _roots_in_block(least: float):
-    """(id, root, n): for each row with a link in the block, the smallest row it is connected with there, and its links."""
+    With cells, links count for the rows on the left only, each of which meets all others once.
+    """
 
     def run(table):
         import numpy as np
@@ -169,7 +130,7 @@ def _roots_in_block(least: float):
         left = table.column("left").to_numpy(zero_copy_only=False).astype(bool)
         ids, x = table.column("id").to_numpy(), _unit_rows(_stack(table.column("v")))
         a, b = np.flatnonzero(left), np.flatnonzero(~left)
-        own = table.column("i")[0] == table.column("j")[0]  # a block with itself
+        own = not cells and table.column("i")[0] == table.column("j")[0]  # a block with itself
         b = a if own else b
         names, where = np.unique(ids, return_inverse=True)
         root, n = np.arange(len(names)), np.zeros(len(names), np.int64)
@@ -181,7 +142,7 @@ def _roots_in_block(least: float):
             p, q = where[part[i[good]]], where[b[j[good]]]
             p, q = p[p != q], q[p != q]
             n += np.bincount(p, minlength=len(n))
-            if not own:
+            if not own and not cells:
                 n += np.bincount(q, minlength=len(n))
             while True:
                 m = np.minimum(root[p], root[q])
@@ -194,12 +155,40 @@ def _roots_in_block(least: float):
                 root = new
         while (root[root] != root).any():
             root = root[root]
-        k = np.flatnonzero(n)
+        k = np.flatnonzero((n > 0) | (root != np.arange(len(names))))
         return pa.table({"id": pa.array(names[k], pa.int64()), "root": pa.array(names[root[k]], pa.int64()), "n": pa.array(n[k], pa.int64())})
 
     return run
 
 
+def celled_classes(vectors: DataFrame, least: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """As linked_classes, for thresholds at which cells rule out most pairs."""
+    import numpy as np
+
+    theta = math.acos(max(-1.0, min(1.0, least)))
+    reps = cut(vectors.groupBy("v").agg(F.min("id").alias("id")).select("id", "v"))
+    members = vectors.join(reps.withColumnRenamed("id", "rep"), "v").select("id", "rep")
+    # a bounded sample only chooses the pivots; every row is placed and looked up
+    sample = reps.orderBy(F.xxhash64("id"), "id").limit(PIVOTS).select("v").toPandas()["v"]
+    if not len(sample):
+        return reps.select(F.col("id").alias("a"), F.col("id").alias("b")), members, reps.select(F.col("id").alias("rep"), F.lit(0).cast("bigint").alias("n_links"))
+    pivots = _unit_rows(np.array(sample.tolist(), dtype=np.float64))
+    placed = cut(reps.mapInArrow(_cells(pivots, theta), "id bigint, v array<double>, cell int, home boolean"))
+    n = placed.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
+    sized = placed.join(F.broadcast(n), "cell")  # as many rows as pivots
+    block = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    left = sized.where("home").select("cell", "id", "v", F.lit(True).alias("left"), block.alias("i"), every.alias("j"))
+    right = sized.select("cell", "id", "v", F.lit(False).alias("left"), every.alias("i"), block.alias("j"))
+    found = cut(left.unionByName(right).groupBy("cell", "i", "j").applyInArrow(_roots_in_block(least, True), "id bigint, root bigint, n bigint"))
+    return _joined(found, members)
+
+
+def _joined(found: DataFrame, members: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    pairs = found.where("id <> root").select(F.col("root").alias("a"), F.col("id").alias("b")).distinct()
+    return pairs, members, found.groupBy(F.col("id").alias("rep")).agg(F.sum("n").alias("n_links"))
+
+
 def linked_classes(vectors: DataFrame, least: float) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Pairs (a, b) that connect the same classes as all links of at least so much do, members (id, rep)
     and links per class (rep, n_links).
@@ -215,8 +204,7 @@ def linked_classes(vectors: DataFrame, least: float) -> tuple[DataFrame, DataFra
     each = reps.select("id", "v", block.alias("p"), other)
     sides = each.select("id", "v", (F.col("p") <= F.col("o")).alias("left"), F.least("p", "o").alias("i"), F.greatest("p", "o").alias("j"))
     found = cut(sides.groupBy("i", "j").applyInArrow(_roots_in_block(least), "id bigint, root bigint, n bigint"))
-    pairs = found.where("id <> root").select(F.col("root").alias("a"), F.col("id").alias("b")).distinct()
-    return pairs, members, found.groupBy(F.col("id").alias("rep")).agg(F.sum("n").alias("n_links"))
+    return _joined(found, members)
 
 
 def clusters(vectors: DataFrame, least: float) -> DataFrame:
@@ -225,11 +213,8 @@ def clusters(vectors: DataFrame, least: float) -> DataFrame:
     With two points enough, each vector with a link is a core point, and clusters are the connected
     components of the links.  n_links counts links to other classes of copies.
     """
-    if 2 * math.acos(max(-1.0, min(1.0, least))) > math.pi / 2:
-        pairs, members, ends = linked_classes(vectors, least)
-    else:
-        pairs, members = similar_classes(vectors, least)
-        ends = pairs.select(F.col("a").alias("rep")).unionByName(pairs.select(F.col("b").alias("rep"))).groupBy("rep").agg(F.count("*").alias("n_links"))
+    wide = 2 * math.acos(max(-1.0, min(1.0, least))) > math.pi / 2
+    pairs, members, ends = linked_classes(vectors, least) if wide else celled_classes(vectors, least)
     reps = members.select(F.col("rep").alias("node")).distinct()
     label = components(pairs, reps)
     size = members.groupBy("rep").agg(F.count("*").alias("copies"))

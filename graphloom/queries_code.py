@@ -393,11 +393,11 @@ def module_index(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _embeddings(spark: SparkSession, d: str) -> DataFrame:
-    return vectors.usable(table(spark, d, "semantic_embeddings"), "embedding_id", "embedding")
+    return vectors.usable(table(spark, d, "semantic_embeddings"), "embedding_id", "embedding", order="computed_at")
 
 
-_VECTORS = """v AS (SELECT id, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS l FROM (SELECT embedding_id AS id, CAST(min(embedding) AS DOUBLE[]) AS v FROM semantic_embeddings
-WHERE len(embedding) = 64 AND list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x))) AND list_bool_or(list_transform(embedding, lambda x: x <> 0)) GROUP BY 1)),
+_VECTORS = """v AS (SELECT id, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS l FROM (SELECT embedding_id AS id, CAST(embedding AS DOUBLE[]) AS v FROM (
+SELECT *, row_number() OVER (PARTITION BY embedding_id ORDER BY computed_at DESC NULLS LAST, embedding DESC) AS rn FROM semantic_embeddings WHERE embedding IS NOT NULL) WHERE rn = 1 AND len(embedding) = 64 AND list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x))) AND list_bool_or(list_transform(embedding, lambda x: x <> 0)))),
 s AS (SELECT a.id AS p, b.id AS q, round(list_dot_product(a.v, b.v) / (a.l * b.l), 10) AS r FROM v a JOIN v b ON a.id <> b.id)"""
 
 
@@ -408,18 +408,13 @@ def cosine_top_k(spark: SparkSession, d: str) -> DataFrame:
     return vectors.top_k(v, v.where("id % 20 = 0")).select("query_id", "other_id", F.col("rank").cast("bigint").alias("rank"))
 
 
-@query(
-    f"""WITH RECURSIVE {_VECTORS}, e AS (SELECT p, q FROM s WHERE r >= 0.98), w AS (SELECT id AS node, id AS label FROM v UNION SELECT e.q, w.label FROM w JOIN e ON e.p = w.node)
-SELECT id, CASE WHEN n > 0 THEN label ELSE -1 END AS label FROM (SELECT node AS id, min(label) AS label FROM w GROUP BY 1) x LEFT JOIN (SELECT p, count(*) AS n FROM e GROUP BY 1) c ON c.p = x.id"""
-)
-def similarity_clusters(spark: SparkSession, d: str) -> DataFrame:
-    """Clusters of vectors within a cosine of 0.98, by their smallest member; -1 for vectors alone."""
-    return vectors.clusters(_embeddings(spark, d), 0.98).select("id", F.coalesce("label", F.lit(-1).cast("bigint")).alias("label"))
+_CLUSTERS = f"""{_VECTORS}, e AS MATERIALIZED (SELECT p, q FROM s WHERE r >= 0.7), w AS (SELECT id AS node, id AS label FROM v UNION SELECT e.q, w.label FROM w JOIN e ON e.p = w.node),
+cl AS (SELECT id, CASE WHEN n > 0 THEN label ELSE -1 END AS label FROM (SELECT node AS id, min(label) AS label FROM w GROUP BY 1) x LEFT JOIN (SELECT p, count(*) AS n FROM e GROUP BY 1) c ON c.p = x.id)"""
 
 
-@query()
-def density_clusters(spark: SparkSession, d: str) -> DataFrame:
-    """As similarity_clusters, within a cosine of 0.7 (eps 0.3, as the reference)."""
+@query(f"WITH RECURSIVE {_CLUSTERS} SELECT id, label FROM cl")
+def similarity_clusters(spark: SparkSession, d: str) -> DataFrame:
+    """Clusters of vectors within a cosine of 0.7, by their smallest member; -1 for vectors alone."""
     return vectors.clusters(_embeddings(spark, d), 0.7).select("id", F.coalesce("label", F.lit(-1).cast("bigint")).alias("label"))
 
 

@@ -224,8 +224,10 @@ def enclosing_node(spark: SparkSession, d: str) -> DataFrame:
     line = F.get_json_object("metadata", "$.source_line").cast("int")
     refs = edges_now(spark, d).select("edge_id", "source", line.alias("line")).where("line IS NOT NULL")
     refs = refs.join(n.select(F.col("id").alias("source"), "file"), "source").select("edge_id", "file", "line")
-    spans = n.where("line_start <= line_end").select("id", "ord", "file", "line_start", "line_end")
-    hits = refs.join(spans, "file").where("line BETWEEN line_start AND line_end")
+    # by pages of lines, so that a use meets only what lies on its page, however much its file holds
+    page = lambda c: F.floor(F.col(c) / 64)
+    spans = n.where("line_start <= line_end").select("id", "ord", "file", "line_start", "line_end", F.explode(F.sequence(page("line_start"), page("line_end"))).alias("page"))
+    hits = refs.withColumn("page", page("line")).join(spans, ["file", "page"]).where("line BETWEEN line_start AND line_end")
     best = F.min_by("id", F.struct(F.col("line_end") - F.col("line_start"), "ord"))
     return hits.groupBy("edge_id").agg(best.alias("id"))
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .functions import exprs
 from .operators import features, imports, scoring, vectors, views
 from .plans.graph_tables import entities, links_now, nodes_now, sql
-from .queries_code import _FILES, _embeddings, _files
+from .queries_code import _CLUSTERS, _FILES, _embeddings, _files
 from .queries_graph import node_importance
 from .queries_graph import oracle_sql as graph_sql
 from .tables import table
@@ -103,22 +103,12 @@ def code_features(spark: SparkSession, d: str) -> DataFrame:
     return f.select("file_id", *(c.alias(k) for k, c in features.code_features(F.col("content")).items()))
 
 
-@query(
-    """SELECT DISTINCT embedding_id, 'name: ' || entity_name || ' | type: ' || lower(entity_type) || ' | context: ' || left(context, 200) AS text, md5(coalesce(entity_name, '') || '|' || coalesce(context, '') || '|') AS key
-FROM semantic_embeddings WHERE entity_name IS NOT NULL AND entity_type IS NOT NULL AND context IS NOT NULL"""
-)
-def semantic_texts(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "semantic_embeddings").where("entity_name IS NOT NULL AND entity_type IS NOT NULL AND context IS NOT NULL")
-    text = features.semantic_text(F.col("entity_name"), F.lower("entity_type"), F.substring("context", 1, 200), F.lit(None).cast("string"))
-    return e.select("embedding_id", text.alias("text"), features.cache_key(F.col("entity_name"), F.col("context"), F.lit("")).alias("key")).distinct()
-
-
 @query(
     """SELECT DISTINCT embedding_id, 'name: ' || entity_name || ' | type: ' || lower(entity_type) || ' | context: ' || context AS text, md5(coalesce(entity_name, '') || '|' || coalesce(context, '') || '|') AS key
 FROM semantic_embeddings WHERE entity_name IS NOT NULL AND entity_type IS NOT NULL AND context IS NOT NULL"""
 )
-def semantic_whole_texts(spark: SparkSession, d: str) -> DataFrame:
-    """As semantic_texts, with the whole context."""
+def semantic_texts(spark: SparkSession, d: str) -> DataFrame:
+    """The text that an entity is embedded by, with its whole context."""
     e = table(spark, d, "semantic_embeddings").where("entity_name IS NOT NULL AND entity_type IS NOT NULL AND context IS NOT NULL")
     text = features.semantic_text(F.col("entity_name"), F.lower("entity_type"), F.col("context"), F.lit(None).cast("string"))
     return e.select("embedding_id", text.alias("text"), features.cache_key(F.col("entity_name"), F.col("context"), F.lit("")).alias("key")).distinct()
@@ -154,7 +144,10 @@ def semantic_calls(spark: SparkSession, d: str) -> DataFrame:
     return near.where("similarity >= 0.75").select(F.col("query_id").alias("source"), F.col("other_id").alias("target"))
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {_CLUSTERS}, u AS (SELECT label, generate_subscripts(v, 1) AS i, unnest(v) / l AS x FROM cl JOIN v USING (id) WHERE label <> -1)
+SELECT label, max(n) AS n, round(sqrt(sum(m * m)), 6) AS confidence FROM (SELECT label, i, avg(x) AS m, count(*) AS n FROM u GROUP BY 1, 2) GROUP BY 1"""
+)
 def cluster_centroids(spark: SparkSession, d: str) -> DataFrame:
     """Clusters of vectors within a cosine of 0.7 with their size and how close members are to the centroid."""
     v = _embeddings(spark, d)

@@ -23,11 +23,11 @@ def test_wide_clusters(spark, tmp_path, monkeypatch):
     x[7] = x[6]
     label, near = brute(x, 0.7)
     assert 10 < len(set(label)) < 200 and (label == -1).any()
-    rows = [(i, [float(c) for c in v]) for i, v in enumerate(x)]
-    spark.createDataFrame(rows, "embedding_id bigint, embedding array<double>").write.parquet(f"{tmp_path}/semantic_embeddings.parquet")
+    rows = [(i, [float(c) for c in v], None) for i, v in enumerate(x)]
+    spark.createDataFrame(rows, "embedding_id bigint, embedding array<double>, computed_at timestamp_ntz").write.parquet(f"{tmp_path}/semantic_embeddings.parquet")
     d = str(tmp_path)
     monkeypatch.setattr(vectors, "BLOCK", 20)  # several blocks
-    got = queries_code.queries()["density_clusters"](spark, d).collect()
+    got = queries_code.queries()["similarity_clusters"](spark, d).collect()
     assert {r.id: r.label for r in got} == dict(enumerate(label.tolist()))
     sizes = {r.label: r.n for r in queries_views.queries()["cluster_centroids"](spark, d).collect()}
     assert sizes == {k: int((label == k).sum()) for k in set(label.tolist()) - {-1}}
