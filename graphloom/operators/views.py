@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..session import spill_table
+
 # What node types are shown as, and how edges are drawn (colour, dashed).
 SHOWN_AS = {"module": "file", "template": "file", "class": "class", "component": "class", "function": "method"}
 EDGE_STYLES = {"imports": ("blue", False), "calls": ("green", False), "renders": ("purple", False), "uses": ("orange", True), "depends_on": ("red", True)}
@@ -51,7 +53,14 @@ def layers(importance: DataFrame) -> DataFrame:
     """(id, layer, position): layers by importance; positions by falling importance."""
     i = F.col("importance")
     layer = F.when(i > 3, 0).when(i > 2, 1).when(i > 1, 2).otherwise(3)
-    return importance.withColumn("layer", layer).withColumn("position", F.row_number().over(Window.partitionBy("layer").orderBy(F.desc("importance"), "id"))).select("id", "layer", "position")
+    # sorted once over all tasks; each numbers its own range, behind the sizes of the ranges before it
+    w = importance.withColumn("layer", layer).repartitionByRange("layer", F.desc("importance"), "id")
+    ranged = spill_table(w.withColumn("part", F.spark_partition_id()), "layers")
+    sizes = ranged.groupBy("layer", "part").agg(F.count("*").alias("n")).groupBy("layer").agg(F.collect_list(F.struct("part", "n")).alias("l"))
+    inside = F.row_number().over(Window.partitionBy("layer", "part").orderBy(F.desc("importance"), "id"))
+    before = F.aggregate(F.filter("l", lambda p: p["part"] < F.col("part")), F.lit(0).cast("bigint"), lambda a, p: a + p["n"])
+    placed = ranged.withColumn("i", inside).join(F.broadcast(sizes), "layer")  # four rows, one entry per task of the sort
+    return placed.select("id", "layer", (before + F.col("i")).cast("int").alias("position"))
 
 
 def related(nodes: DataFrame, id_: str) -> DataFrame:
